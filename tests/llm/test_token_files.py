@@ -14,6 +14,7 @@ from cloakframe.llm.token_files import TokenShard, read_token_files, write_token
 from cloakframe.llm.tokens import TokenEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+OWN, ENC = Tokenizer.from_file(PATH), TokenEncoder(PATH)
 
 
 @given(st.lists(st.integers(0, 3000), max_size=900))
@@ -35,15 +36,14 @@ def test_elias_fano_is_near_minimal():
 @given(st.lists(st.text(alphabet="aB'sé ßΣ\n\t^~|<>0１.́ \u0085", max_size=40), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_pieces_give_the_tokenizers_own_ids(texts):
-    own = Tokenizer.from_file(PATH)
-    enc = TokenEncoder(PATH)
+    own, enc = OWN, ENC
     assert enc.by_piece
     for text, got in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
 def test_special_text_is_kept():
-    own, enc = Tokenizer.from_file(PATH), TokenEncoder(PATH)
+    own, enc = OWN, ENC
     text = "a<|endoftext|>b ^ <|startoftext|> ^^ c^d"
     assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
