@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op5_packing
+from .perspectives import OP6_SQL, op6_perspectives
 from .token_files import op1_token_files
 
-QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op7_mixing": op7_mixing}
-SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+QUERIES = {"op1_token_files": op1_token_files, "op5_packing": op5_packing, "op6_perspectives": op6_perspectives, "op7_mixing": op7_mixing}
+SQL: dict[str, str] = {"op6_perspectives": OP6_SQL, "op7_mixing": OP7_SQL}
