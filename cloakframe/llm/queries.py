@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .language import op3_language
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op5_packing
 from .perspectives import OP6_SQL, op6_perspectives
 from .token_files import op1_token_files
 from .transport import op4_transport_streams
 
-QUERIES = {"op1_token_files": op1_token_files, "op4_transport_streams": op4_transport_streams, "op5_packing": op5_packing, "op6_perspectives": op6_perspectives, "op7_mixing": op7_mixing}
+QUERIES = {"op1_token_files": op1_token_files, "op3_language": op3_language, "op4_transport_streams": op4_transport_streams, "op5_packing": op5_packing, "op6_perspectives": op6_perspectives, "op7_mixing": op7_mixing}
 SQL: dict[str, str] = {"op6_perspectives": OP6_SQL, "op7_mixing": OP7_SQL}
