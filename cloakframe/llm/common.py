@@ -50,9 +50,9 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size; only sets numbers of partitions."""
+    """The optimizer's estimate of df's size, 0 where it has none; only sets numbers of partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    return size if size < 1 << 58 else 0
 
 
 def partitions(df: DataFrame, target: int = 32 << 20) -> int:
