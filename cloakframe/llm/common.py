@@ -110,3 +110,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_BASE, _POWERS = 0x9E3779B97F4A7C15, None
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse, at least n of each."""
+    global _POWERS
+    if _POWERS is None or len(_POWERS[0]) < n:
+        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _POWERS

@@ -34,14 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, mix64, pack, partitions, prepare, stored, table, unpack
+from .common import flat_text, mix64, pack, partitions, powers, prepare, stored, table, unpack
 
 WIDTH, GRAM, STEP = 100, 24, 20
 SPAN = WIDTH - GRAM + 1
 SLICE, UNIT, SHARDS, CROWDED = 1 << 19, 1_500_000, 4, 50_000
 LAST = (1 << 63) - 1
 _U = np.uint64
-_BASE, _STEPS = 0x9E3779B97F4A7C15 | 1, None
 ROUTED = "kind int, bucket int, blob binary, did long, tie long, a long, b long"
 _ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("did", pa.int64()), ("tie", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 FOUND = "kind int, did long, tie long, a long, b long, key long, crowded boolean"
@@ -82,14 +81,6 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - step : width - step + n]) if step < width else x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _STEPS
-    if _STEPS is None or len(_STEPS[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _STEPS = tuple(np.cumprod(np.concatenate([np.ones(1, _U), np.full(n, b, _U)])) for b in (_BASE, inverse))
-    return _STEPS
-
-
 def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Blocks of texts that lie one after the other: key, content hash, text number, first window, windows."""
     sizes = np.diff(offsets)
@@ -114,7 +105,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     hi = np.append(lo[1:], n)
     keep = valid[lo]
     lo, hi = lo[keep], hi[keep]
-    power, inverse = _powers(len(words) + 1)
+    power, inverse = powers(len(words) + 1)
     running = np.zeros(len(words) + 1, _U)
     np.cumsum(words * power[: len(words)], out=running[1:])
     end = hi + WIDTH - 1 - 8  # words that lie in the block
