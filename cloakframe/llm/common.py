@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_paths() -> Iterator[list[str]]:
+    """The scratch folders that are named while the block runs, for whoever knows when they are done with."""
+    _SCOPES.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, *keep: str) -> DataFrame:
         labels = np.array(model.labels, dtype=object)
         for batch in batches:
             data, offsets = flat_text(batch.column("text"))
-            letters = batch.column("has").to_numpy(zero_copy_only=False)
+            letters = batch.column("__letters").to_numpy(zero_copy_only=False)
             p = model.documents(data, offsets) if batch.num_rows else np.zeros((0, len(labels)))
             best = p.argmax(axis=1)
             names = np.where(letters, labels[best], UNKNOWN)
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, *([] if "text" in keep else ["text"]), has.alias("has")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"]), has.alias("__letters")).mapInArrow(run, schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,84 @@
-"""Corpus pipeline over `documents`; its stages follow as their operators are built."""
+"""Corpus pipeline over `documents`: language, near duplicates, repeated passages, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next stage's docs. A stage's scratch folders go when the stage after it begins: by then its result is
+written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.llm import language, mixing, ngram_join, packing, suffix_dedup
+from cloakframe.llm.common import crc_mod, discard, prepare, scratch_paths, stored
+
+#: Documents whose language is less likely than this go, and those without a letter.
+LEAST_SCORE = 0.3
+_left: tuple[int, list[str]] = (-1, [])
+
+
+def _stage(k: int, spark: SparkSession, make) -> DataFrame:
+    global _left
+    prepare(spark)
+    if _left[0] == k - 1:
+        discard(spark, _left[1])
+    with scratch_paths() as paths:
+        out = make()
+    _left = (k, paths)
+    return out
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those of no likely language; `lang` stays as it is."""
+
+    def make() -> DataFrame:
+        model = language.learn(docs, crc_mod("doc_id", 4) != 2)
+        named = language.predict(docs, model, *docs.columns)
+        return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+    return _stage(0, spark, make)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of every component."""
+    return _stage(1, spark, lambda: ngram_join.representatives(docs))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of the texts; `n_chars` follows."""
+    return _stage(2, spark, lambda: suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document comes as many times as the mix takes it."""
+    return _stage(3, spark, lambda: mixing.mixed(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its sequence and offset."""
+    import public_tokenizers
+
+    return _stage(4, spark, lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL expresses neither the network nor the packing; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
     return docs
