@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cotraining import op8_quality
 from .language import op3_language
 from .mixing import OP7_SQL, op7_mixing
 from .ngram_join import op10_ngram_join
@@ -12,5 +13,5 @@ from .token_files import op1_token_files
 from .transport import op4_transport_streams
 from .vectors import op9_nearest
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_suffix_dedup": op2_suffix_dedup, "op3_language": op3_language, "op4_transport_streams": op4_transport_streams, "op5_packing": op5_packing, "op6_perspectives": op6_perspectives, "op7_mixing": op7_mixing, "op9_nearest": op9_nearest, "op10_ngram_join": op10_ngram_join}
+QUERIES = {"op1_token_files": op1_token_files, "op2_suffix_dedup": op2_suffix_dedup, "op3_language": op3_language, "op4_transport_streams": op4_transport_streams, "op5_packing": op5_packing, "op6_perspectives": op6_perspectives, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_nearest": op9_nearest, "op10_ngram_join": op10_ngram_join}
 SQL: dict[str, str] = {"op6_perspectives": OP6_SQL, "op7_mixing": OP7_SQL}
