@@ -144,10 +144,11 @@ def detect(segments: DataFrame, text: str = "text", how: Detection | None = None
 
 
 def entities_of(detected: DataFrame, *keys: str, value_of: str | None = None) -> DataFrame:
-    """A row for each entity; value_of names the text column if values are wanted (they are left out by default)."""
+    """A row for each entity (fields that clash with a key are called entity_...); value_of names the text column if values are wanted (they are left out by default)."""
     rows = detected.select(*keys, *([value_of] if value_of and value_of not in keys else []), F.posexplode("entities").alias("entity_no", "e"))
     value = [F.substring(F.col(value_of), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value")] if value_of else []
-    return rows.select(*keys, "entity_no", "e.*", (F.col("e.end") - F.col("e.start")).alias("length"), *value)
+    fields = [F.col(f"e.{f}").alias(f"entity_{f}" if f in keys else f) for f in _STRUCT.names]
+    return rows.select(*keys, "entity_no", *fields, (F.col("e.end") - F.col("e.start")).alias("length"), *value)
 
 
 def timed(scanner: Scanner, text: str) -> float:
