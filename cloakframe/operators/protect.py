@@ -1,6 +1,6 @@
 """Protection of requests: detection, decisions, session tokens, replacement, and a result for each request.
 
-requests: (request_id, session_id, seq, text) and optionally purpose and policy. A session's tokens are numbered
+requests: (request_id, session_id, seq, text) and optionally purpose; request_id is unique. A session's tokens are numbered
 over its distinct values in order of first use, so a session with very many mentions is reduced to its values
 before any window. Numbers that already stand in the session's texts as tokens are skipped.
 """
@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.catalog import RISKS
 from ..functions.values import marker_col, normal, pseudonym, splice, token_col
 from ..plans.policy import Policy, decide, resolve_policy
-from .detect import Detection, detect, entities_of
+from .detect import _STRUCT, Detection, detect, entities_of
+
+
+FIELDS = _STRUCT.names
 
 
 @F.pandas_udf(StringType())
@@ -27,14 +31,17 @@ def normal_udf(entity_type: pd.Series, value: pd.Series) -> pd.Series:
 
 
 def decided_entities(requests: DataFrame, policy: Policy | str | dict | None = None, how: Detection | None = None) -> tuple[DataFrame, DataFrame]:
-    """(detected requests, decided entities with values); the entities are internal: they hold values."""
+    """(detected requests without texts, decided entities); both are internal: they hold values."""
     p = resolve_policy(policy)
     rows = requests.withColumn("policy", F.lit(p.name))
     if "purpose" not in rows.columns:
         rows = rows.withColumn("purpose", F.lit(None).cast("string"))
     detected = detect(rows.select("request_id", "session_id", "seq", "text", "purpose", "policy"), how=how)
-    entities = entities_of(detected, "request_id", "session_id", "seq", "purpose", "policy", value_of="text").drop("text")
-    return detected, decide(entities, [p])
+    with_values = F.transform("entities", lambda e: F.struct(*[e[f].alias(f) for f in FIELDS], F.substring(F.col("text"), e.start + 1, e.end - e.start).alias("value")))
+    # several plans read the entities; without this each would scan the texts again
+    slim = detected.select("request_id", "session_id", "seq", "purpose", "policy", with_values.alias("entities"), "warnings", "incomplete").persist(StorageLevel.MEMORY_AND_DISK)
+    entities = slim.select("request_id", "session_id", "seq", "purpose", "policy", F.explode("entities").alias("e")).select("request_id", "session_id", "seq", "purpose", "policy", "e.*")
+    return slim, decide(entities, [p])
 
 
 def reserved_numbers(requests: DataFrame) -> DataFrame:
@@ -105,25 +112,25 @@ def replaced(decided: DataFrame, requests: DataFrame, earlier: DataFrame | None
 
 
 def summary_of(rows: DataFrame, key: str) -> DataFrame:
-    """Counts by type, risk, and types by what was done with them, in order of first use."""
-    per = rows.groupBy(key, "type").agg(F.count("*").alias("n"), F.max("risk_rank").alias("risk_rank"))
-    counts = per.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("counts"), F.sum("n").alias("total"), F.element_at(F.array(*map(F.lit, RISKS)), F.max("risk_rank") + 1).alias("risk"))
-    firsts = rows.groupBy(key, "action", "type").agg(F.min("start").alias("ord"))
-    named = lambda a, n: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("ord", "type", "action")), lambda x: x.action.isin(*a))), lambda x: x.type).alias(n)
-    lists = firsts.groupBy(key).agg(named(("redact",), "removed"), named(("allow",), "retained"), named(("tokenize", "pseudonymize"), "tokenized"), named(("block",), "blocked_types"))
-    return counts.join(lists, key)
+    """Counts by type, risk, and types by what was done with them in order of first use, from one aggregation."""
+    one = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "type", "action"))).alias("used"), F.count("*").alias("total"), F.max("risk_rank").alias("rank"))
+    types = F.array_sort(F.array_distinct(F.transform("used", lambda x: x.type)))
+    counts = F.map_from_entries(F.transform(types, lambda t: F.struct(t, F.size(F.filter("used", lambda x: x.type == t)).cast("long"))))
+    named = lambda *actions: F.array_distinct(F.transform(F.filter("used", lambda x: x.action.isin(*actions)), lambda x: x.type))
+    risk = F.element_at(F.array(*map(F.lit, RISKS)), F.col("rank") + 1)
+    return one.select(key, counts.alias("counts"), "total", risk.alias("risk"), named("redact").alias("removed"), named("allow").alias("retained"), named("tokenize", "pseudonymize").alias("tokenized"), named("block").alias("blocked_types"))
 
 
 def protect(requests: DataFrame, policy: Policy | str | dict | None = None, how: Detection | None = None, earlier: DataFrame | None = None, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(a result for each request, the sessions' mappings)."""
     p = resolve_policy(policy)
-    detected, decided = decided_entities(requests, p, how)
+    slim, decided = decided_entities(requests, p, how)
     rows, mappings = replaced(decided, requests, earlier, keys)
-    edits = rows.where("replacement is not null").groupBy("request_id").agg(F.collect_list(F.struct("start", "end", F.col("replacement").alias("repl"))).alias("edits"))
+    edit = F.when(F.col("replacement").isNotNull(), F.struct("start", "end", F.col("replacement").alias("repl")))
+    edits = rows.groupBy("request_id").agg(F.collect_list(edit).alias("edits"), F.bool_or(F.col("action") == "block").alias("has_block"))
     low = decided.where(~F.col("kept")).groupBy("request_id").agg(F.count("*").alias("below_threshold"))
-    blocked = rows.groupBy("request_id").agg(F.bool_or(F.col("action") == "block").alias("has_block"))
-    out = detected.select("request_id", "session_id", "text", "purpose", "warnings", "incomplete").join(edits, "request_id", "left").join(low, "request_id", "left").join(blocked, "request_id", "left").join(summary_of(rows, "request_id"), "request_id", "left")
-    out = out.withColumn("fail_mode", F.lit(p.fail_mode))
+    out = requests.select("request_id", "text").join(slim.select("request_id", "session_id", "warnings", "incomplete"), "request_id")
+    out = out.join(edits, "request_id", "left").join(low, "request_id", "left").join(summary_of(rows, "request_id"), "request_id", "left").withColumn("fail_mode", F.lit(p.fail_mode))
     blocked_ = F.coalesce(F.col("has_block"), F.lit(False))
     status = F.when(blocked_, "blocked").when(F.col("incomplete"), "uncertain").otherwise("safe")
     withheld = blocked_ | (F.col("incomplete") & (F.col("fail_mode") == "closed"))
