@@ -10,7 +10,7 @@
    different labels are left; these are verified against blocks of the larger component. No pair that
    passes the filters is left out, and none is made inside a component.
 
-N-grams travel as 56-bit hashes in packed columns. The sketch (1 MB) is the only thing that is broadcast.
+N-grams travel as 56-bit hashes in packed columns. The sketch (4 MB) and a filter of ids (1 MB) are all that is broadcast, at any input size.
 Defined cases: null or blank text has an empty set and links with nothing (component_id is its doc_id); fewer
 words than n make one n-gram; rows of equal doc_id are documents of their own; null doc_ids count in no
 component's minimum, a component of such rows alone has a null id; an empty table gives no rows; other columns
@@ -30,14 +30,17 @@ from pyspark.sql import functions as F
 from .common import flat_text, mix64, pack, partitions, powers, prepare, stored, table, unpack
 
 N_WORDS, PERCENT = 5, 80
-CELLS, CHUNKS, SLICE = 1 << 20, 16, 1 << 19
-SMALL, LEADERS, BLOCK, GUESTS = 8, 8, 512, 1024
+CELLS, CHUNKS, SLICE = 1 << 22, 16, 1 << 19
+CELL_SHIFT = 56 - 22
+SMALL, LEADERS, BLOCK, GUESTS = 4, 3, 512, 1024
+#: Buckets of a set's histogram for the first suffix filter, bytes of an n-gram in a shipped set, bits of the filter of wanted ids.
+BUCKETS, GRAM_BYTES, BITS = 128, 6, 1 << 23
 _U = np.uint64
 _MIX = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 ENTRY = ["<u8", "<u8", "<u4", "<u4"]  # n-gram, node, set size, position
 PAIR = ["<u8", "<u8"]
-ROUTED = "kind int, bucket int, blob binary, doc_id long, node long, n long"
-_ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+ROUTED = "kind int, bucket int, blob binary, doc_id long, node long, n long, shape binary"
+_ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shape", pa.binary())])
 
 
 def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -93,7 +96,7 @@ def _sketch(n_words: int):
         counts, wait, waiting = np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column("text")):
-                wait.append((shingles(data, offsets, n_words)[0] >> _U(36)).astype(np.int32))
+                wait.append((shingles(data, offsets, n_words)[0] >> _U(CELL_SHIFT)).astype(np.int32))
                 waiting += len(wait[-1])
                 if waiting > 2 * CELLS:
                     counts += np.bincount(np.concatenate(wait), minlength=CELLS)
@@ -101,7 +104,7 @@ def _sketch(n_words: int):
         if wait:
             counts += np.bincount(np.concatenate(wait), minlength=CELLS)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.astype("<u4").tobytes() for c in np.split(np.minimum(counts, 0xFFFFFFFF), CHUNKS)])], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.astype("<u2").tobytes() for c in np.split(np.minimum(counts, 0xFFFF), CHUNKS)])], names=["chunk", "counts"])
 
     return run
 
@@ -110,16 +113,16 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(blob, "<u4").astype(np.int64)
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(blob, "<u2").astype(np.int64)
     for chunk, c in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([c.tobytes()])], names=["chunk", "counts"])
 
 
 def rarity_levels(rows: DataFrame, n_words: int) -> np.ndarray:
-    """A level for each cell of the count sketch over all rows: 0 where n-grams are as rare as most."""
+    """A level for each cell of the count sketch over all rows: 0 where n-grams are as rare as most. A task's counts stop at 65,535."""
     parts = rows.select("text").mapInArrow(_sketch(n_words), "chunk int, counts binary")
     counts = np.zeros(CELLS, np.int64)
-    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, counts binary").collect():  # CHUNKS rows, 8 MB in all
+    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, counts binary").collect():  # CHUNKS rows, 32 MB in all
         counts[r.chunk * (CELLS // CHUNKS) : (r.chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(r.counts, np.int64)
     above = np.maximum(counts - 2 * int(np.median(counts)) - 16, 0)
     return np.floor(4 * np.log2(1 + above)).clip(0, 255).astype(np.uint8)
@@ -129,7 +132,7 @@ def _sets(text, levels: np.ndarray, n_words: int) -> Iterator[tuple[int, np.ndar
     """Text number and its set, sorted rare first: level in the upper eight bits, hash below."""
     for k, to, data, offsets in _slices(text):
         h, at = shingles(data, offsets, n_words)
-        h |= levels[(h >> _U(36)).astype(np.int64)].astype(_U) << _U(56)
+        h |= levels[(h >> _U(CELL_SHIFT)).astype(np.int64)].astype(_U) << _U(56)
         for i in range(to - k):
             x = np.sort(h[at[i] : at[i + 1]])
             if len(x) > 1:
@@ -142,18 +145,24 @@ def node_of(x: np.ndarray) -> int:
     return (int(mix64(x * _MIX[1]).sum()) * int(_MIX[2]) + len(x) * int(_MIX[3])) & (1 << 64) - 1
 
 
+def shape_of(x: np.ndarray) -> bytes:
+    """How many n-grams of a set fall into each of BUCKETS hash ranges; 255 stands for any number from there on."""
+    return np.minimum(np.bincount((x & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 def _prefixes(buckets: int, levels: np.ndarray, n_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, seen, parts = np.zeros(batch.num_rows, _U), np.zeros(batch.num_rows, np.int64), set(), []
+            nodes, sizes, seen, parts, shapes = np.zeros(batch.num_rows, _U), np.zeros(batch.num_rows, np.int64), set(), [], [None] * batch.num_rows
             for i, x in _sets(batch.column("text"), levels, n_words):
                 if not len(x):
                     continue
                 nodes[i], sizes[i] = node, n = node_of(x), len(x)
                 if node not in seen:
                     seen.add(node)
+                    shapes[i] = shape_of(x)
                     parts.append((x[: n + (-percent * n) // 100 + 1], node, n))
-            yield _rows(_ROUTED, kind=np.ones(batch.num_rows, np.int32), bucket=(sizes % buckets).astype(np.int32), doc_id=batch.column("doc_id"), node=nodes.view(np.int64), n=sizes)
+            yield _rows(_ROUTED, kind=np.ones(batch.num_rows, np.int32), bucket=(sizes % buckets).astype(np.int32), doc_id=batch.column("doc_id"), node=nodes.view(np.int64), n=sizes, shape=shapes)
             if not parts:
                 continue
             length = np.array([len(p[0]) for p in parts])
@@ -266,16 +275,26 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(gram[x].view(np.int64)), pa.array(node[x].view(np.int64)), pa.array(n[x].astype(np.int64)), pa.array(pos[x].astype(np.int64))], names=["gram", "node", "n", "pos"])
 
 
+def _shapes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+
+
+def _overlap_possible(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.ndarray:
+    """Suffix filter by histograms: sets share at most the sum of the lesser counts. A full bucket (255) has no bound."""
+    full = ((a == 255) & (b == 255)).any(axis=-1)
+    return full | (np.minimum(a, b).sum(axis=-1, dtype=np.int64) >= -(-percent * (na + nb) // (100 + percent)))
+
+
 def _cross(percent: int):
     """Entries of large groups with labels, all of an n-gram in one partition -> (host label, block, guest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(c).to_numpy() for c in ("gram", "node", "n", "pos", "label", "members")] for b in batches]
+        got = [[*(b.column(c).to_numpy() for c in ("gram", "node", "n", "pos", "label", "members")), _shapes(b.column("shape"))] for b in batches]
         if not got:
             return
-        gram, node, n, pos, label, members = (np.concatenate(x) for x in zip(*got, strict=True))
+        gram, node, n, pos, label, members, shape = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((node.view(_U), gram))
-        gram, node, n, pos, label, members = (x[order] for x in (gram, node, n, pos, label, members))
+        gram, node, n, pos, label, members, shape = (x[order] for x in (gram, node, n, pos, label, members, shape))
         edges = np.flatnonzero(np.diff(gram, prepend=gram[:1] - 1, append=gram[-1:] + 1))
         found: set[tuple[int, int, int]] = set()
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -287,6 +306,7 @@ def _cross(percent: int):
                 others = by_size[r + 1 :] + s
                 others = others[label[others] != label[i]]
                 ok = others[passes(n[others], pos[others], np.array(n[i]), pos[i], percent)]
+                ok = ok[_overlap_possible(shape[ok], shape[i], n[ok], n[i], percent)]
                 found.update((int(label[j]), int(node[j]) % -(-int(members[j]) // BLOCK), int(node[i])) for j in ok.tolist())
         if found:
             cols = np.array(sorted(found), np.int64).T
@@ -295,6 +315,68 @@ def _cross(percent: int):
     return run
 
 
+def _by_shape(percent: int):
+    """Pairs whose histograms allow the overlap that the threshold asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ok = _overlap_possible(_shapes(batch.column("a")), _shapes(batch.column("b")), na, nb, percent)
+            yield batch.filter(pa.array(ok)).select(["host", "guest"])
+
+    return run
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(BITS, bool)
+    for batch in batches:
+        bits[batch.column("h").to_numpy()] = True
+    if bits.any():
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["chunk", "bits"])
+
+
+def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BITS // 8, np.uint8)
+    for batch in batches:
+        for blob in batch.column("bits").to_pylist():
+            total |= np.frombuffer(blob, np.uint8)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()])], names=["chunk", "bits"])
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """rows whose column may be in wanted: a filter of BITS bits, whatever the input; a join follows, which is exact."""
+    at = F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
+    parts = wanted.select(at.alias("h")).mapInArrow(_bits, "chunk int, bits binary")
+    one = parts.repartition(8).mapInArrow(_or, "chunk int, bits binary").collect()  # at most eight rows of 1 MB
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in one:
+        bits |= np.frombuffer(r.bits, np.uint8)
+    if np.unpackbits(bits).mean() > 0.5:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("__at").to_numpy()
+            yield batch.filter(pa.array((bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)).drop_columns(["__at"])
+
+    return rows.withColumn("__at", at).mapInArrow(run, rows.schema)
+
+
+def _ship(x: np.ndarray) -> bytes:
+    """A set by the lower 48 bits of its hashes, sorted."""
+    low = np.sort(x & _U((1 << 8 * GRAM_BYTES) - 1))
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES]).tobytes()
+
+
+def _unship(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // GRAM_BYTES, 8), np.uint8)
+    out[:, :GRAM_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, GRAM_BYTES)
+    return out.view("<u8").ravel()
+
+
 def suffix_filter(x: np.ndarray, y: np.ndarray, most: int, depth: int = 2) -> int:
     """A lower bound of the symmetric difference of sorted sets: halves are compared by size around a pivot."""
     least = abs(len(x) - len(y))
@@ -318,7 +400,7 @@ def _verify(percent: int):
             for host, block, salt, kind, node, blob in zip(*(batch.column(c).to_pylist() for c in ("host", "block", "salt", "kind", "node", "grams")), strict=True):
                 if at != (host, block, salt):
                     at, members, index = (host, block, salt), [], None
-                x = np.frombuffer(blob, "<u8")
+                x = _unship(blob)
                 if kind == 0:
                     members.append((node, x))
                     continue
@@ -391,37 +473,47 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     levels = rarity_levels(rows, n_words)
     made = rows.mapInArrow(_prefixes(n, levels, n_words, percent), ROUTED).repartition(n, "bucket").mapInArrow(_candidates(n, percent), ROUTED)
     made = stored(made, "join-groups")
-    names = made.where("kind = 1").select("doc_id", "node", "n")
+    names = made.where("kind = 1").select("doc_id", "node", "n", "shape")
     pairs = stored(made.where("kind = 2").select("bucket", "blob").repartition(n, "bucket").mapInArrow(_distinct_pairs, "host long, guest long"), "join-pairs")
     entries = made.where("kind = 3").select("blob").mapInArrow(_entries, "gram long, node long, n long, pos long")
-    wanted = pairs.select(F.explode(F.array("host", "guest")).alias("node")).distinct()
-    first = names.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("did"))
-    wanted = first.join(wanted, "node")
-
+    nodes = names.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("did"), F.first("shape", True).alias("shape"), F.max("n").alias("n"))
+    nodes = stored(nodes, "join-nodes")
+    shaped = pairs.join(nodes.select(F.col("node").alias("host"), F.col("shape").alias("a"), F.col("n").alias("na")), "host").join(nodes.select(F.col("node").alias("guest"), F.col("shape").alias("b"), F.col("n").alias("nb")), "guest")
+    pairs = stored(shaped.select("host", "guest", "a", "b", "na", "nb").mapInArrow(_by_shape(percent), "host long, guest long"), "join-pairs")
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            nodes, blobs, ask = [], [], batch.column("node").to_pylist()
+            got, blobs, ask = [], [], batch.column("node").to_pylist()
             for i, x in _sets(batch.column("text"), levels, n_words):
-                if len(x) and node_of(x) == ask[i] & (1 << 64) - 1:  # rows of one doc_id may have other texts
-                    nodes.append(ask[i])
-                    blobs.append(x.tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "grams"])
-
-    texts = rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "text").join(wanted, "did").select("node", "text")
-    sets = stored(texts.mapInArrow(build, "node long, grams binary").groupBy("node").agg(F.first("grams").alias("grams")), "join-sets")
+                if len(x) and ask[i] not in seen and node_of(x) == ask[i] & (1 << 64) - 1:  # rows of one doc_id may have other texts
+                    seen.add(ask[i])
+                    got.append(ask[i])
+                    blobs.append(_ship(x))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "grams"])
+
+    def sets_of(wanted: DataFrame, label: str) -> DataFrame:
+        wanted = stored(nodes.join(wanted, "node").select("node", "did"), f"{label}-wanted")
+        texts = likely(rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "text"), wanted, "did")
+        return stored(texts.join(wanted, "did").select("node", "text").mapInArrow(build, "node long, grams binary"), label)
+
+    sets = sets_of(pairs.select(F.explode(F.array("host", "guest")).alias("node")).distinct(), "join-sets")
     alone = pairs.select("host", F.lit(0).cast("long").alias("block"), F.col("host").alias("node")).distinct()
     links = stored(verified(pairs.withColumn("block", F.lit(0).cast("long")), alone, sets, percent), "join-links")
     labels = components(links, "join-labels")
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label")
     sized = stored(sized, "join-sized")
     known = entries.join(sized, "node", "left").select("gram", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+    known = known.join(nodes.select("node", "shape"), "node")
     cross = stored(known.repartition(n, "gram").mapInArrow(_cross(percent), "host long, block long, guest long").distinct(), "join-cross")
     block = F.pmod(F.col("node"), F.ceil(F.col("members") / BLOCK).cast("long"))
     hosts = cross.select("host").distinct()
     inside = hosts.join(sized, hosts.host == sized.label).select("host", block.alias("block"), "node")
     single = hosts.join(sized, hosts.host == sized.label, "left_anti").select("host", F.lit(0).cast("long").alias("block"), F.col("host").alias("node"))
-    more = verified(cross, inside.unionByName(single), sets, percent)
+    hosts = stored(inside.unionByName(single).join(cross.select("host", "block").distinct(), ["host", "block"]), "join-hosts")
+    missing = hosts.select("node").unionByName(cross.select(F.col("guest").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
+    sets = sets.unionByName(sets_of(missing, "join-more-sets"))
+    more = verified(cross, hosts, sets, percent)
     final = components(links.unionByName(stored(more, "join-more")), "join-final")
     return names.join(final, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), "label")
 
