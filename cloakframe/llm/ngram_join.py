@@ -19,6 +19,7 @@ are kept by `representatives`, which keeps or drops rows of one doc_id together.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import flat_text, mix64, pack, partitions, powers, prepare, stored,
 N_WORDS, PERCENT = 5, 80
 CELLS, CHUNKS, SLICE = 1 << 22, 16, 1 << 19
 CELL_SHIFT = 56 - 22
-SMALL, LEADERS, BLOCK, GUESTS = 4, 3, 512, 1024
+SMALL, LEADERS, BLOCK, GUESTS = 4, 3, 64, 1024
 #: Buckets of a set's histogram for the first suffix filter, bytes of an n-gram in a shipped set, bits of the filter of wanted ids.
 BUCKETS, GRAM_BYTES, BITS = 128, 6, 1 << 23
 _U = np.uint64
@@ -93,18 +94,18 @@ def _slices(text: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nda
 
 def _sketch(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, wait, waiting = np.zeros(CELLS, np.int64), [], 0
+        counts, wait, waiting = np.zeros(CELLS, np.uint32), [], 0
         for batch in batches:
             for _, _, data, offsets in _slices(batch.column("text")):
                 wait.append((shingles(data, offsets, n_words)[0] >> _U(CELL_SHIFT)).astype(np.int32))
                 waiting += len(wait[-1])
-                if waiting > 2 * CELLS:
-                    counts += np.bincount(np.concatenate(wait), minlength=CELLS)
+                if waiting > CELLS:
+                    counts += np.bincount(np.concatenate(wait), minlength=CELLS).astype(np.uint32)
                     wait, waiting = [], 0
         if wait:
-            counts += np.bincount(np.concatenate(wait), minlength=CELLS)
+            counts += np.bincount(np.concatenate(wait), minlength=CELLS).astype(np.uint32)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([c.astype("<u2").tobytes() for c in np.split(np.minimum(counts, 0xFFFF), CHUNKS)])], names=["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(c.astype("<u2").tobytes(), 1) for c in np.split(np.minimum(counts, 0xFFFF), CHUNKS)])], names=["chunk", "counts"])
 
     return run
 
@@ -113,19 +114,20 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(blob, "<u2").astype(np.int64)
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(blob), "<u2").astype(np.int64)
     for chunk, c in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([c.tobytes()])], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes()])], names=["chunk", "counts"])
 
 
 def rarity_levels(rows: DataFrame, n_words: int) -> np.ndarray:
     """A level for each cell of the count sketch over all rows: 0 where n-grams are as rare as most. A task's counts stop at 65,535."""
     parts = rows.select("text").mapInArrow(_sketch(n_words), "chunk int, counts binary")
-    counts = np.zeros(CELLS, np.int64)
-    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, counts binary").collect():  # CHUNKS rows, 32 MB in all
-        counts[r.chunk * (CELLS // CHUNKS) : (r.chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(r.counts, np.int64)
-    above = np.maximum(counts - 2 * int(np.median(counts)) - 16, 0)
-    return np.floor(4 * np.log2(1 + above)).clip(0, 255).astype(np.uint8)
+    counts = np.zeros(CELLS, np.uint32)
+    for r in parts.repartition(CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, counts binary").collect():  # CHUNKS rows, 16 MB in all
+        counts[r.chunk * (CELLS // CHUNKS) : (r.chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(r.counts, "<u4")
+    usual = 2 * int(np.median(counts)) + 16
+    above = [np.maximum(c.astype(np.int64) - usual, 0) for c in np.split(counts, CHUNKS)]
+    return np.concatenate([np.floor(4 * np.log2(1 + a)).clip(0, 255).astype(np.uint8) for a in above])
 
 
 def _sets(text, levels: np.ndarray, n_words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -405,7 +407,7 @@ def _verify(percent: int):
                     members.append((node, x))
                     continue
                 if index is None and len(members) > 1:
-                    grams, owner = np.concatenate([m[1] for m in members]), np.repeat(np.arange(len(members)), [len(m[1]) for m in members])
+                    grams, owner = np.concatenate([m[1] for m in members]), np.repeat(np.arange(len(members), dtype=np.int32), [len(m[1]) for m in members])
                     order = np.argsort(grams, kind="stable")
                     index = grams[order], owner[order], np.array([len(m[1]) for m in members])
                 if len(members) == 1:
@@ -436,9 +438,9 @@ def verified(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent
     """candidates (host, block, guest), members (host, block, node), sets (node, grams) -> links (a, b)."""
     load = candidates.groupBy("host", "block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("salts"))
     hosts = members.join(load, ["host", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    hosts = hosts.join(sets, "node").select("host", "block", "salt", F.lit(0).alias("kind"), "node", "grams")
+    hosts = hosts.join(sets.hint("merge"), "node").select("host", "block", "salt", F.lit(0).alias("kind"), "node", "grams")
     guests = candidates.join(load, ["host", "block"]).withColumn("salt", F.pmod(F.xxhash64("guest"), F.col("salts")).cast("int"))
-    guests = guests.withColumnRenamed("guest", "node").join(sets, "node").select("host", "block", "salt", F.lit(1).alias("kind"), "node", "grams")
+    guests = guests.withColumnRenamed("guest", "node").join(sets.hint("merge"), "node").select("host", "block", "salt", F.lit(1).alias("kind"), "node", "grams")
     rows = hosts.unionByName(guests).repartition(partitions(sets), "host", "block", "salt").sortWithinPartitions("host", "block", "salt", "kind", "node")
     return rows.mapInArrow(_verify(percent), "a long, b long")
 
@@ -478,7 +480,9 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     entries = made.where("kind = 3").select("blob").mapInArrow(_entries, "gram long, node long, n long, pos long")
     nodes = names.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("did"), F.first("shape", True).alias("shape"), F.max("n").alias("n"))
     nodes = stored(nodes, "join-nodes")
-    shaped = pairs.join(nodes.select(F.col("node").alias("host"), F.col("shape").alias("a"), F.col("n").alias("na")), "host").join(nodes.select(F.col("node").alias("guest"), F.col("shape").alias("b"), F.col("n").alias("nb")), "guest")
+    # sides that grow with the input are merged at every size, never broadcast
+    shaped = pairs.hint("merge").join(nodes.select(F.col("node").alias("host"), F.col("shape").alias("a"), F.col("n").alias("na")), "host")
+    shaped = shaped.hint("merge").join(nodes.select(F.col("node").alias("guest"), F.col("shape").alias("b"), F.col("n").alias("nb")), "guest")
     pairs = stored(shaped.select("host", "guest", "a", "b", "na", "nb").mapInArrow(_by_shape(percent), "host long, guest long"), "join-pairs")
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -493,9 +497,9 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "grams"])
 
     def sets_of(wanted: DataFrame, label: str) -> DataFrame:
-        wanted = stored(nodes.join(wanted, "node").select("node", "did"), f"{label}-wanted")
+        wanted = stored(nodes.join(wanted.hint("merge"), "node").select("node", "did"), f"{label}-wanted")
         texts = likely(rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "text"), wanted, "did")
-        return stored(texts.join(wanted, "did").select("node", "text").mapInArrow(build, "node long, grams binary"), label)
+        return stored(texts.join(wanted.hint("merge"), "did").select("node", "text").mapInArrow(build, "node long, grams binary"), label)
 
     sets = sets_of(pairs.select(F.explode(F.array("host", "guest")).alias("node")).distinct(), "join-sets")
     alone = pairs.select("host", F.lit(0).cast("long").alias("block"), F.col("host").alias("node")).distinct()
@@ -503,8 +507,8 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     labels = components(links, "join-labels")
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label")
     sized = stored(sized, "join-sized")
-    known = entries.join(sized, "node", "left").select("gram", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
-    known = known.join(nodes.select("node", "shape"), "node")
+    known = entries.join(sized.hint("merge"), "node", "left").select("gram", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+    known = known.join(nodes.select("node", "shape").hint("merge"), "node")
     cross = stored(known.repartition(n, "gram").mapInArrow(_cross(percent), "host long, block long, guest long").distinct(), "join-cross")
     block = F.pmod(F.col("node"), F.ceil(F.col("members") / BLOCK).cast("long"))
     hosts = cross.select("host").distinct()
