@@ -13,8 +13,8 @@
 N-grams travel as 56-bit hashes in packed columns. The sketch (4 MB) and a filter of ids (1 MB) are all that is broadcast, at any input size.
 Defined cases: null or blank text has an empty set and links with nothing (component_id is its doc_id); fewer
 words than n make one n-gram; rows of equal doc_id are documents of their own; null doc_ids count in no
-component's minimum, a component of such rows alone has a null id; an empty table gives no rows; other columns
-are kept by `representatives`, which keeps or drops rows of one doc_id together.
+component's minimum, a component of such rows alone has a null id; an empty table gives no rows. `representatives`
+decides row by row and keeps the other columns: of each component one row stays, whatever ids its rows have.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ _U = np.uint64
 _MIX = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 ENTRY = ["<u8", "<u8", "<u4", "<u4"]  # n-gram, node, set size, position
 PAIR = ["<u8", "<u8"]
-ROUTED = "kind int, bucket int, blob binary, doc_id long, node long, n long, shape binary"
-_ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shape", pa.binary())])
+ROUTED = "kind int, bucket int, blob binary, doc_id long, key long, node long, n long, shape binary"
+_ROUTED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shape", pa.binary())])
 
 
 def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -164,7 +164,7 @@ def _prefixes(buckets: int, levels: np.ndarray, n_words: int, percent: int):
                     seen.add(node)
                     shapes[i] = shape_of(x)
                     parts.append((x[: n + (-percent * n) // 100 + 1], node, n))
-            yield _rows(_ROUTED, kind=np.ones(batch.num_rows, np.int32), bucket=(sizes % buckets).astype(np.int32), doc_id=batch.column("doc_id"), node=nodes.view(np.int64), n=sizes, shape=shapes)
+            yield _rows(_ROUTED, kind=np.ones(batch.num_rows, np.int32), bucket=(sizes % buckets).astype(np.int32), doc_id=batch.column("doc_id"), key=batch.column("key"), node=nodes.view(np.int64), n=sizes, shape=shapes)
             if not parts:
                 continue
             length = np.array([len(p[0]) for p in parts])
@@ -467,15 +467,15 @@ def components(links: DataFrame, label: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, node, n_shingles, component): a row for each row of docs; null component where there is no link."""
+    """(doc_id, key, node, n_shingles, label): a row for each row of docs; key is a hash of the text, label null where there is no link."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     n = partitions(rows)
     levels = rarity_levels(rows, n_words)
     made = rows.mapInArrow(_prefixes(n, levels, n_words, percent), ROUTED).repartition(n, "bucket").mapInArrow(_candidates(n, percent), ROUTED)
     made = stored(made, "join-groups")
-    names = made.where("kind = 1").select("doc_id", "node", "n", "shape")
+    names = made.where("kind = 1").select("doc_id", "key", "node", "n", "shape")
     pairs = stored(made.where("kind = 2").select("bucket", "blob").repartition(n, "bucket").mapInArrow(_distinct_pairs, "host long, guest long"), "join-pairs")
     entries = made.where("kind = 3").select("blob").mapInArrow(_entries, "gram long, node long, n long, pos long")
     nodes = names.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("did"), F.first("shape", True).alias("shape"), F.max("n").alias("n"))
@@ -519,7 +519,7 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     sets = sets.unionByName(sets_of(missing, "join-more-sets"))
     more = verified(cross, hosts, sets, percent)
     final = components(links.unionByName(stored(more, "join-more")), "join-final")
-    return names.join(final, "node", "left").select("doc_id", "node", F.col("n").alias("n_shingles"), "label")
+    return names.join(final, "node", "left").select("doc_id", "key", "node", F.col("n").alias("n_shingles"), "label")
 
 
 def document_components(docs: DataFrame, **how) -> DataFrame:
@@ -531,10 +531,23 @@ def document_components(docs: DataFrame, **how) -> DataFrame:
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """docs without near duplicates: of each component the document with the least id stays."""
-    found = document_components(docs, **how)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == gone["did"], "left_anti")
+    """docs without near duplicates: of each component one row stays, that of the least id (nulls last), then of the least set and text.
+
+    Rows of one id and text stand for each other: where they have to give one row, the other columns decide. Rows without an n-gram stay.
+    """
+    found = near_duplicates(docs, **how).where("n_shingles > 0").withColumn("group", F.coalesce("label", "node"))
+    texts = stored(found.groupBy("group", "node", "doc_id", "key").agg(F.count("*").alias("copies")), "join-texts")
+    best = texts.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "node", "key", "copies")).alias("best"))
+    best = stored(best.select("best.doc_id", "best.key", "best.copies"), "join-best")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
+    gone = texts.join(best, same(texts, best), "left_anti").select("doc_id", "key")
+    several = best.where("copies > 1").select("doc_id", "key")
+    apart = stored(gone.unionByName(several), "join-apart")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("key"))
+    whole = rows.join(apart, same(rows, apart), "left_anti").select("doc.*")
+    alike = likely(rows, several, "key")
+    one = alike.join(several, same(alike, several), "left_semi").groupBy("doc_id", "key").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
+    return whole.unionByName(one.select("doc.*"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,30 @@ def test_representatives(spark):
     assert {r.doc_id for r in out.collect()} == {c for _, _, c in brute(rows)}
 
 
+def test_representatives_decide_by_row(spark):
+    """Null and repeated ids: one row of each component stays, and no row goes for the id it shares."""
+    rng = np.random.default_rng(6)
+    near, nulls, shared = family(rng, 4, 200, 4), family(rng, 5, 200, 4), family(rng, 3, 200, 4)
+    clean = [f"{w} is an unrelated text of its own kind number {w}" for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(7, near[0]), (None, near[1]), (8, near[2]), (7, near[3]), *((None, t) for t in nulls), (20, shared[0]), (21, shared[1]), (21, clean[0])]
+    rows += [(None, clean[1]), (None, clean[2]), (None, clean[2]), (None, clean[2].upper()), (30, clean[3]), (30, clean[3]), (None, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, extra={"n": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, extra map<string,int>").repartition(3)
+    sets = [gram_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    up[i] = up[j] = min(up[i], up[j])
+    out = nj.representatives(docs)
+    assert out.columns == docs.columns
+    got = [r.extra["n"] for r in out.collect()]
+    assert sorted(up[k] for k in got) == sorted(set(up))
+    for k in got:
+        ids = [rows[i][0] for i in range(len(rows)) if up[i] == up[k] and rows[i][0] is not None]
+        assert rows[k][0] == (min(ids) if ids else None)
+
+
 def test_filters_lose_nothing():
     rng = np.random.default_rng(0)
     for _ in range(300):
