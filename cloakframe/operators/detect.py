@@ -1,7 +1,7 @@
 """Entity detection over a column of text: one Arrow kernel finds spans and resolves overlaps within a row.
 
-Offsets count code points. Entities carry no values unless asked for. Null text has no entities; texts beyond
-`max_text_bytes` are not scanned and say so in `incomplete`.
+Offsets count code points. Entities carry no values unless asked for. Null text has no entities. Texts are scanned
+whole unless limits are asked for: then texts beyond `max_text_bytes` are not scanned and say so in `incomplete`.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ _STRUCT = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.in
 
 @dataclass(frozen=True)
 class Detection:
-    """What to look for, and the limits of a text."""
+    """What to look for, and the limits of a text (none unless they are set; `Limits.detection` sets them)."""
 
     disabled: tuple[str, ...] = ()  # pii, secrets, names, or names of own detectors
     rules: tuple[Rule, ...] = ()  # own pattern rules
     functions: tuple[tuple[str, Callable[[str], list[tuple[str, int, int, float]]]], ...] = ()  # own detectors: name, text -> (type, start, end, confidence)
     names: NameLists = field(default_factory=NameLists)
     only: tuple[str, ...] = ()  # entity types; empty: all
-    max_text_bytes: int = 10 << 20
-    max_entities: int = 100_000
+    max_text_bytes: int | None = None
+    max_entities: int | None = None
 
 
 def pattern_rule(entity_type: str, rule_id: str, pattern: str, confidence: float = 0.9, flags: str = "", **more) -> Rule:
@@ -92,7 +92,8 @@ class Scanner:
         self.steps = [(n, f) for n, f in steps if n not in how.disabled]
 
     def __call__(self, text: str) -> tuple[list[Span], list[str], bool]:
-        if len(text) > self.how.max_text_bytes or (len(text) * 4 > self.how.max_text_bytes and len(text.encode()) > self.how.max_text_bytes):
+        most = self.how.max_text_bytes
+        if most is not None and (len(text) > most or (len(text) * 4 > most and len(text.encode()) > most)):
             return [], ["TEXT_TOO_LARGE"], True
         lower, spans, warnings = text.lower(), [], []
         for name, step in self.steps:
@@ -105,7 +106,7 @@ class Scanner:
         if self.how.only:
             valid = [s for s in valid if s.type in self.how.only]
         best = resolve(valid)
-        if len(best) > self.how.max_entities:
+        if self.how.max_entities is not None and len(best) > self.how.max_entities:
             best = best[: self.how.max_entities]
             warnings.append("ENTITY_LIMIT_REACHED")
         return best, warnings, bool(warnings)

@@ -133,7 +133,9 @@ def protect(requests: DataFrame, policy: Policy | str | dict | None = None, how:
     out = out.join(edits, "request_id", "left").join(low, "request_id", "left").join(summary_of(rows, "request_id"), "request_id", "left").withColumn("fail_mode", F.lit(p.fail_mode))
     blocked_ = F.coalesce(F.col("has_block"), F.lit(False))
     status = F.when(blocked_, "blocked").when(F.col("incomplete"), "uncertain").otherwise("safe")
-    withheld = blocked_ | (F.col("incomplete") & (F.col("fail_mode") == "closed"))
+    # a text that was not scanned at all is never given out, in no fail mode
+    unread = F.coalesce(F.array_contains("warnings", "TEXT_TOO_LARGE"), F.lit(False))
+    withheld = blocked_ | unread | (F.col("incomplete") & (F.col("fail_mode") == "closed"))
     edited = F.when(F.col("edits").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("edits")))
     none = F.array().cast("array<string>")
     lists = [F.coalesce(c, none).alias(c) for c in ("removed", "retained", "tokenized", "blocked_types")]
@@ -200,10 +202,10 @@ def release(responses: DataFrame, mappings: DataFrame, policy: Policy | str | di
         F.bool_or(F.col("action") == "block").alias("blocked"), F.bool_or(F.col("action") == "warn").alias("warned"), F.count("*").alias("unexpected"),
         F.filter(F.collect_list(F.struct("start", "end", "repl")), lambda x: x.repl.isNotNull()).alias("edits"),
     )
-    clean = detected.select("response_id", "session_id", "text").join(per, "response_id", "left")
+    clean = detected.select("response_id", "session_id", "text", F.array_contains("warnings", "TEXT_TOO_LARGE").alias("unread")).join(per, "response_id", "left")
     clean = clean.withColumn("text", F.when(F.col("edits").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("edits"))))
     back = restore(clean.select("response_id", "session_id", "text"), mappings if p.restore_tokens else mappings.limit(0))
-    blocked = F.coalesce("blocked", F.lit(False))
+    blocked = F.coalesce("blocked", F.lit(False)) | F.coalesce("unread", F.lit(False))
     return clean.join(back, "response_id").select(
         "response_id", "session_id", F.when(blocked, "blocked").when(F.coalesce("warned", F.lit(False)), "warned").otherwise("safe").alias("status"), F.when(~blocked, F.col("data")).alias("data"),
         F.when(blocked, 0).otherwise(F.col("restored")).alias("restored"), F.when(blocked, 0).otherwise(F.col("unrestored")).alias("unrestored"), F.coalesce("unexpected", F.lit(0)).alias("unexpected"),

@@ -55,6 +55,28 @@ def test_own_detectors_and_failures():
     assert Scanner(Detection(max_text_bytes=3))("abcd")[2]
 
 
+def test_registered_queries_read_whole_texts():
+    from cloakframe.queries import only
+
+    spans, warnings, incomplete = Scanner(only("email"))("".join(f"u{i}@ex.org " for i in range(100_001)))
+    assert len(spans) == 100_001 and not warnings and not incomplete
+    spans, warnings, incomplete = Scanner(only("email"))("- " * (6 << 20) + "last@ex.org")
+    assert len(spans) == 1 and not warnings and not incomplete
+
+
+def test_texts_over_a_limit_are_withheld(spark):
+    from cloakframe.limits import Limits
+    from cloakframe.operators.protect import protect, release
+
+    how = Limits(max_text_bytes=30).detection()
+    asked = requests(spark, [("a", "s", "mail me: someone@example.org, or don't", None), ("b", "s", "hi someone@example.org", None)])
+    results, mappings = protect(asked, "default", how)
+    got = {r.request_id: r for r in results.collect()}
+    assert got["a"].safe_text is None and got["a"].status == "uncertain" and got["b"].safe_text is not None
+    said = spark.createDataFrame([("a", "s", "write to other@example.org, or better don't"), ("b", "s", "fine")], "response_id string, session_id string, text string")
+    assert {r.response_id: r.data for r in release(said, mappings, "default", how).collect()} == {"a": None, "b": "fine"}
+
+
 def requests(spark, rows):
     return spark.createDataFrame([Row(request_id=r, session_id=s, seq=k, text=t, purpose=p) for k, (r, s, t, p) in enumerate(rows)], "request_id string, session_id string, seq long, text string, purpose string")
 
