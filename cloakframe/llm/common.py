@@ -87,6 +87,17 @@ def crc_mod(col: str, mod: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
+def release_memory() -> None:
+    """Gives freed memory back: workers live on, and later stages shouldn't find what earlier ones once needed."""
+    import ctypes
+
+    global _POWERS
+    _POWERS = None
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Columns of equal length as one blob: the length, then column after column."""
     return len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)

@@ -1,13 +1,18 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
-Two gated recurrent units read a segment of bytes forwards and backwards; a softmax over both states labels
-every position, and a document's probabilities are the mean over all its positions. Training is
-backpropagation through time with Adam on a bounded sample: windows of the TRAIN_DOCS documents with the
-smallest id hash among those that may be learned from. Prediction covers every byte of every text.
+Two gated recurrent units read bytes forwards and backwards; a softmax over both states labels every position,
+and a document's probabilities are the mean over all its positions. Training is backpropagation through time with
+Adam on a bounded sample: windows of about TRAIN_DOCS documents, the same number for each language, taken by
+the smallest hashes among those that may be learned from; the LABELS most frequent languages are learned.
+
+Prediction labels every byte of every text. Long texts are read in segments of SEGMENT bytes; each unit starts
+CONTEXT bytes before its segment (inside the text), so the states at a segment's edge know what comes before and
+after it. Shorter rows are read left-aligned in both directions: what follows a row's end never reaches its states.
 
 Defined cases: null text or a text without a letter is `und` with score 0; so is every text if nothing can be
-learned from; a null doc_id is neither held out nor learned from; equal texts get equal values; repeated rows
-stay; an empty table gives no rows; other columns are ignored.
+learned from; a null doc_id is neither held out nor learned from; a text's label and score are the same alone, in any
+batch and in any partitioning (scores are rounded to six decimals); repeated rows stay; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,18 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, flat_text, prepare, table
+from .common import crc_mod, flat_text, prepare, release_memory, table
 
 #: Bounds of what is learned from, and the network's sizes.
-TRAIN_DOCS, WINDOWS, WINDOW, HIDDEN, EPOCHS, BATCH = 2000, 4, 64, 8, 4, 256
-SEGMENT, ROWS = 256, 2048
+TRAIN_DOCS, LABELS, WINDOWS, WINDOW, HIDDEN, EPOCHS, BATCH = 2000, 256, 4, 64, 8, 4, 256
+SEGMENT, CONTEXT, ROWS = 448, 32, 1024
 #: A small sample is gone over more often, for at least so many steps.
 STEPS = 150
 UNKNOWN = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def turned(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(time, rows, ...) with the first lengths[row] entries of each row in reverse order; what follows stays behind them."""
+    if len(lengths) and int(lengths.min()) == len(x):
+        return x[::-1]
+    t = np.arange(len(x))[:, None]
+    at = np.where(t < lengths, lengths - 1 - t, t)
+    return x[at, np.arange(x.shape[1])]
 
 
 class Direction:
@@ -106,41 +116,43 @@ class ByteTagger:
     def groups(self) -> list[dict[str, np.ndarray]]:
         return [self.forward.p, self.backward.p, self.out]
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """(time, rows) bytes -> (time, rows, labels) probabilities."""
+    def positions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(time, rows) bytes, of which lengths[row] count -> (time, rows, labels) probabilities."""
         f, _ = self.forward.run(x)
-        b, _ = self.backward.run(x[::-1])
-        h = self.forward.h
-        p = f.reshape(-1, h) @ self.out["V"][:h]
-        p += b[::-1].reshape(-1, h) @ self.out["V"][h:]
+        b, _ = self.backward.run(turned(x, lengths))
+        h, k = self.forward.h, len(self.labels)
+        p = (f.reshape(-1, h) @ self.out["V"][:h]).reshape(*x.shape, k)
+        p += turned((b.reshape(-1, h) @ self.out["V"][h:]).reshape(*x.shape, k), lengths)
         p += self.out["c"]
-        p -= p.max(axis=1, keepdims=True)
+        p -= p.max(axis=2, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        return p.reshape(*x.shape, -1)
+        p /= p.sum(axis=2, keepdims=True)
+        return p
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[dict[str, np.ndarray]]]:
-        """x: (time, rows) bytes, y: labels of the rows; cross entropy over all positions, and its gradients."""
-        h = self.forward.h
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, lengths: np.ndarray | None = None) -> tuple[float, list[dict[str, np.ndarray]]]:
+        """x: (time, rows) bytes, y: labels of the rows; cross entropy over all positions that count, and its gradients."""
+        h, lengths = self.forward.h, np.full(x.shape[1], len(x)) if lengths is None else lengths
+        back = turned(x, lengths)
         f, ft = self.forward.run(x, keep=True)
-        b, bt = self.backward.run(x[::-1], keep=True)
-        states = np.concatenate([f, b[::-1]], axis=2)
+        b, bt = self.backward.run(back, keep=True)
+        states = np.concatenate([f, turned(b, lengths)], axis=2)
         logits = states @ self.out["V"] + self.out["c"]
         logits -= logits.max(axis=2, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=2, keepdims=True)
         rows = np.arange(len(y))
-        w = weight / (weight.sum() * len(x))
+        inside = np.arange(len(x))[:, None] < lengths
+        w = inside * (weight / np.maximum(lengths, 1) / weight.sum())
         loss = float(-(np.log(p[:, rows, y] + 1e-30) * w).sum())
         p[:, rows, y] -= 1
-        p *= w[None, :, None].astype(np.float32)
+        p *= w[:, :, None].astype(np.float32)
         flat = p.reshape(-1, p.shape[2])
         gs = p @ self.out["V"].T
         out = {"V": states.reshape(-1, 2 * h).T @ flat, "c": flat.sum(axis=0)}
-        return loss, [self.forward.back(x, ft, gs[:, :, :h]), self.backward.back(x[::-1], bt, gs[::-1, :, h:]), out]
+        return loss, [self.forward.back(x, ft, gs[:, :, :h]), self.backward.back(back, bt, turned(gs[:, :, h:], lengths)), out]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02, seed: int = 0) -> ByteTagger:
-        """x: (windows, time) bytes; classes weigh alike, however many windows they have."""
+    def fit(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.02, seed: int = 0) -> ByteTagger:
+        """x: (windows, time) bytes, of which lengths count; classes weigh alike, however many windows they have."""
         rng, counts = np.random.default_rng(seed), np.bincount(y, minlength=len(self.labels))
         weight = (1 / np.maximum(counts, 1))[y].astype(np.float32)
         moments = [{k: (np.zeros_like(v), np.zeros_like(v)) for k, v in g.items()} for g in self.groups()]
@@ -151,7 +163,7 @@ class ByteTagger:
             order = rng.permutation(len(x))
             for k in range(0, len(x), batch):
                 at = order[k : k + batch]
-                _, grads = self.gradients(np.ascontiguousarray(x[at].T), y[at], weight[at])
+                _, grads = self.gradients(np.ascontiguousarray(x[at].T), y[at], weight[at], lengths[at])
                 step += 1
                 scale = min(1.0, 1 / (1e-9 + float(np.sqrt(sum((g**2).sum() for part in grads for g in part.values())))))
                 lr = rate * (1 - 0.9 * step / steps)
@@ -168,44 +180,70 @@ class ByteTagger:
         """Pooled probabilities of texts that lie one after the other; every byte counts once."""
         sizes = np.diff(offsets)
         per = -(-sizes // SEGMENT)
-        starts = np.repeat(offsets[:-1], per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
-        lengths = np.minimum(SEGMENT, np.repeat(offsets[1:], per) - starts)
         owner = np.repeat(np.arange(len(sizes)), per)
+        core = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT  # in the text
+        lead = np.minimum(core, CONTEXT)
+        counts = np.minimum(SEGMENT, sizes[owner] - core)
+        lengths = np.minimum(lead + counts + CONTEXT, sizes[owner] - core + lead)
+        starts = offsets[owner] + core - lead
         order = np.argsort(-lengths, kind="stable")
         sums = np.zeros((len(starts), len(self.labels)))
-        padded = np.concatenate([data, np.full(SEGMENT, 32, np.uint8)])
+        padded = np.concatenate([data, np.zeros(SEGMENT + 2 * CONTEXT, np.uint8)])
         for k in range(0, len(order), ROWS):
             at = order[k : k + ROWS]
-            longest = int(lengths[at[0]])
-            inside = np.arange(longest)[:, None] < lengths[at]
-            x = np.where(inside, padded[starts[at] + np.arange(longest)[:, None]], np.uint8(32))
-            p = self.positions(x)
-            if lengths[at[-1]] < longest:
-                p *= inside[:, :, None]
+            # rows of zero length fill the group up: whole tiles of the matrix products, so that a row's sums don't depend on its group
+            n = np.concatenate([lengths[at], np.zeros(-len(at) % 64, np.int64)])
+            t = np.arange(int(n[0]))[:, None]
+            x = np.where(t < n, padded[np.minimum(np.append(starts[at], np.zeros(len(n) - len(at), np.int64)) + t, len(padded) - 1)], np.uint8(0))
+            p = self.positions(x, n)[:, : len(at)]
+            p *= ((t >= lead[at]) & (t < (lead + counts)[at]))[:, :, None]
             sums[at] = p.sum(axis=0, dtype=np.float64)
         pooled = np.zeros((len(sizes), len(self.labels)))
         np.add.at(pooled, owner, sums)
         return pooled / np.maximum(sizes, 1)[:, None]
 
 
+def pieces(window: str) -> list[bytes]:
+    """A window as runs of whole characters of at most WINDOW bytes."""
+    raw, out = window.encode(), []
+    while raw:
+        end = min(WINDOW, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[:end])
+        raw = raw[end:]
+    return out
+
+
 def learn(docs: DataFrame, may_learn, seed: int = 0) -> ByteTagger | None:
-    """Fits on windows of the TRAIN_DOCS documents with the smallest id hash; only these reach the driver."""
+    """Fits on windows of a bounded sample that reaches the driver; None if there is nothing to learn from.
+
+    A language gives its rows with the smallest hashes: about TRAIN_DOCS / number of languages, all if it has fewer.
+    """
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select(F.xxhash64("doc_id").alias("hash"), "lang", "text")
-    least = rows.select("hash").orderBy("hash").limit(TRAIN_DOCS).agg(F.max("hash")).first()[0]
-    if least is None:
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("hash"), F.col("lang").cast("string").alias("lang"), "text")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+    if not counts:
         return None
+    share = -(-TRAIN_DOCS // len(counts))
+    most = {r.lang: int(min(1.0, 1.5 * share / r["count"]) * (1 << 62)) for r in counts}  # of hashes below 2^62
+    limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("lang")]
+    near = rows.where(F.shiftrightunsigned("hash", 2) <= limit)
     n = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    windows = F.array(*[F.substring(F.col("text"), F.floor(n * k / max(WINDOWS - 1, 1)).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)])
-    sample = rows.where(F.col("hash") <= least).select("hash", "lang", windows.alias("windows")).orderBy("hash", "lang", "windows").limit(TRAIN_DOCS).collect()
-    labels = sorted({r.lang for r in sample})
-    raw = [(w.encode()[:WINDOW].ljust(WINDOW), labels.index(r.lang)) for r in sample for w in dict.fromkeys(r.windows)]
-    x = np.frombuffer(b"".join(w for w, _ in raw), np.uint8).reshape(-1, WINDOW)
-    return ByteTagger(labels, seed=seed).fit(x, np.array([y for _, y in raw]), seed=seed)
+    parts = [F.substring(F.col("text"), F.floor(n * k / max(WINDOWS - 1, 1)).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)]
+    near = near.select("hash", "lang", F.array_distinct(F.array(*parts)).alias("windows"))
+    sample = near.orderBy("hash", "lang", "windows").limit(2 * TRAIN_DOCS + 2 * LABELS).collect()
+    labels, taken, raw = sorted(most), dict.fromkeys(most, 0), []
+    for r in sample:
+        taken[r.lang] += 1
+        if taken[r.lang] <= share:
+            raw += [(w, labels.index(r.lang)) for window in r.windows for w in pieces(window)]
+    x = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w, _ in raw), np.uint8).reshape(-1, WINDOW)
+    return ByteTagger(labels, seed=seed).fit(x, np.array([y for _, y in raw]), np.array([len(w) for w, _ in raw]), seed=seed)
 
 
 def predict(docs: DataFrame, model: ByteTagger | None, *keep: str) -> DataFrame:
-    """Columns `keep` of docs with lang_pred and score, from the text alone."""
+    """Columns `keep` of docs (none called lang_pred or score) with lang_pred and score, from the text alone."""
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -213,16 +251,17 @@ def predict(docs: DataFrame, model: ByteTagger | None, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array(model.labels, dtype=object)
         for batch in batches:
-            data, offsets = flat_text(batch.column("text"))
-            letters = batch.column("__letters").to_numpy(zero_copy_only=False)
+            data, offsets = flat_text(batch.column(len(keep)))
+            letters = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             p = model.documents(data, offsets) if batch.num_rows else np.zeros((0, len(labels)))
             best = p.argmax(axis=1)
             names = np.where(letters, labels[best], UNKNOWN)
-            score = np.where(letters, np.clip(p.max(axis=1, initial=0), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            score = np.where(letters, np.clip(p.max(axis=1, initial=0), 0, 1), 0.0).round(6)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(names.tolist(), pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+        release_memory()
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, *([] if "text" in keep else ["text"]), has.alias("__letters")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("__text"), has.alias("__letters")).mapInArrow(run, schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
