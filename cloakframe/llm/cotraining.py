@@ -1,16 +1,18 @@
 """Quality scores by co-training a text view and a metadata view.
 
-The text view sees byte shares and layout statistics of the whole text; the metadata view sees source, language
-and length, never the text. Both are logistic regressions. They start from labelled documents; in each round
-each view scores all unlabelled documents, and those it is surest of are given, with its labels, to the other
-view. At the end both are calibrated on labelled documents that neither was fitted on (Platt scaling), and their
+The text view sees the whole text: byte shares, hashed words and word pairs, and layout ratios, but not its length; the
+metadata view sees source, language and length, never the text. Both are logistic regressions. They start from
+labelled documents; in each round each view scores all unlabelled documents, and those it is surest of are given, with
+its labels, to the other view: the PSEUDO surest of each class that it hasn't given yet, rows that are alike
+in both views once. At the end both are calibrated on labelled documents that neither was fitted on (Platt scaling), and their
 calibrated log odds are added (less the prior, which both hold).
 
-Bounds: LABELLED labelled documents (smallest id hash) and PSEUDO pseudo-labels of a class, view and round
-reach the driver; features, scores and the choice of the surest cover all documents.
-Defined cases: null text is an empty text; null metadata is a value of its own; labels that are null or
-contradict each other in equal numbers don't count; without labels of both classes every score is the share of
-good labels (0.5 without any); repeated rows stay; an empty table gives no rows; other columns are ignored.
+Bounds: LABELLED labelled documents (smallest hash) and PSEUDO pseudo-labels of a class, view and round reach the
+driver; features, scores and the choice of the surest cover all documents.
+Defined cases: null text is an empty text; words of any length count alike (features are shares, ratios and logarithms,
+all finite); null metadata is a value of its own; labels that are null or contradict each other in equal numbers don't
+count; without labels of both classes every score is the share of good labels (0.5 without any); repeated rows stay; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,45 +25,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, prepare, stored, table
+from .common import flat_text, prepare, release_memory, stored, table
+from .ngram_join import shingles
 
 LABELLED, PSEUDO, ROUNDS, SURE = 6000, 200, 3, 0.95
-BINS = 64
-TEXT_SIZE, META_SIZE = 128 + 12, 2 * BINS + 8
+BINS, WORDS, PAIRS, SHAPE = 64, 192, 192, 8
+TEXT_SIZE, META_SIZE = 128 + SHAPE + WORDS + PAIRS, 2 * BINS + 8
 RESULT = "doc_id long, text_score double, meta_score double, score double, good boolean"
+FEATURES = "doc_id long, hash long, source_bin int, lang_bin int, chars long, text_vec binary"
+SUREST = "view int, class int, sure double, hash long, source_bin int, lang_bin int, chars long, text_vec binary"
 
 
-def text_features(data: np.ndarray, text: str) -> np.ndarray:
-    """Square roots of byte shares (one for all of 128 and above), and layout statistics."""
-    out = np.zeros(TEXT_SIZE, np.float32)
-    n = len(data)
-    if not n:
-        return out
-    share = np.bincount(data, minlength=256) / n
-    out[:128] = np.sqrt(share[:128])
-    words = text.split()
-    distinct = set(words)
-    lengths = np.fromiter(map(len, words), np.int32, len(words)) if words else np.zeros(1, np.int32)
-    lines = text.split("\n")
+def _hashed(data: np.ndarray, offsets: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """(texts, bins): square roots of the shares of hashed n-grams of words."""
+    grams, at = shingles(data, offsets, n)
+    count = np.diff(at)
+    owner = np.repeat(np.arange(len(count)), count)
+    out = np.bincount(owner * bins + (grams % np.uint64(bins)).astype(np.int64), minlength=len(count) * bins).reshape(-1, bins)
+    return np.sqrt(out / np.maximum(count, 1)[:, None])
+
+
+def layout(text: str) -> tuple[float, ...]:
+    """Ratios of words and lines; none of them grows with the text."""
+    words, lines = text.split(), text.split("\n")
+    lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    letters = share[65:91].sum() + share[97:123].sum() + share[128:].sum()
-    out[128:] = (
-        np.sqrt(share[128:].sum()), np.log1p(n) / 10, letters, share[48:58].sum(), share[65:91].sum(), len(distinct) / max(len(words), 1), again / max(len(words), 1),
-        lengths.mean() / 10, lengths.std() / 10, np.log1p(len(lines)) / 5, len(set(lines)) / len(lines), 1,
-    )
+    return len(set(words)) / max(len(words), 1), again / max(len(words), 1), np.log1p(lengths.mean()), np.log1p(lengths.std()), len(set(lines)) / len(lines)
+
+
+def text_view(texts: list[str | None], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, TEXT_SIZE) features of texts that lie one after the other in data; shares, ratios and logarithms, so half precision holds them."""
+    out = np.zeros((len(texts), TEXT_SIZE), np.float32)
+    for i, (text, a, b) in enumerate(zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        if b > a:
+            share = np.bincount(data[a:b], minlength=256) / (b - a)
+            letters, beyond = share[65:91].sum() + share[97:123].sum() + share[128:].sum(), share[128:].sum()
+            out[i, :128] = np.sqrt(share[:128])
+            out[i, 128 : 128 + SHAPE] = (*layout(text), letters, np.sqrt(beyond), 1)
+    out[:, 128 + SHAPE : 128 + SHAPE + WORDS] = _hashed(data, offsets, 1, WORDS)
+    out[:, 128 + SHAPE + WORDS :] = _hashed(data, offsets, 2, PAIRS)
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = [c.split()[0] for c in FEATURES.split(", ")][:-1]
     for batch in batches:
-        data, offsets = flat_text(batch.column("text"))
-        vectors = [text_features(data[a:b], t or "").astype("<f2").tobytes() for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column("text").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "hash", "source_bin", "lang_bin", "chars")], pa.array(vectors, pa.binary())], names=["doc_id", "hash", "source_bin", "lang_bin", "chars", "text_vec"])
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            vectors = text_view(part.column("text").to_pylist(), *flat_text(part.column("text")))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array([v.astype("<f2").tobytes() for v in vectors], pa.binary())], names=[*kept, "text_vec"])
+    release_memory()
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    n = batch.num_rows
-    x = np.frombuffer(b"".join(batch.column("text_vec").to_pylist()), "<f2").reshape(n, TEXT_SIZE).astype(np.float32)
+    x = np.frombuffer(b"".join(batch.column("text_vec").to_pylist()), "<f2").reshape(batch.num_rows, TEXT_SIZE).astype(np.float32)
     return x, meta_view(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("source_bin", "lang_bin", "chars")))
 
 
@@ -114,23 +131,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _surest(models: tuple[Logistic, Logistic]):
-    """The PSEUDO surest unlabelled rows of each view and class in a partition."""
+def _surest(models: tuple[Logistic, Logistic], given: list[np.ndarray]):
+    """The PSEUDO surest rows of each view and class in a partition that the view hasn't given yet; rows alike in both views count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], list[tuple]] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
+        kept: dict[tuple[int, int], dict[tuple, tuple]] = {(v, c): {} for v in (0, 1) for c in (0, 1)}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, hashes = batch.to_pylist(), batch.column("hash").to_numpy()
+            hashes, same = batch.column("hash").to_numpy(), list(zip(*(batch.column(c).to_pylist() for c in ("source_bin", "lang_bin", "chars", "text_vec")), strict=True))
             for v, (model, x) in enumerate(zip(models, _views(batch), strict=True)):
-                p = _sigmoid(model.log_odds(x))
+                p, new = _sigmoid(model.log_odds(x)), ~np.isin(hashes, given[v])
                 for c in (0, 1):
-                    sure = p if c else 1 - p
-                    at = np.flatnonzero(sure >= SURE)
-                    at = at[np.lexsort((hashes[at], -sure[at]))][:PSEUDO]
-                    kept[v, c] = sorted([*kept[v, c], *((-float(sure[i]), int(hashes[i]), i, rows[i]) for i in at.tolist())], key=lambda t: t[:2])[:PSEUDO]
-        out = [(v, c, -t[0], t[1], *(t[3][k] for k in ("source_bin", "lang_bin", "chars", "text_vec"))) for (v, c), ts in kept.items() for t in ts]
+                    sure, best = p if c else 1 - p, kept[v, c]
+                    at = np.flatnonzero((sure >= SURE) & new)
+                    for i in at[np.lexsort((hashes[at], -sure[at]))].tolist():
+                        rank = (-float(sure[i]), int(hashes[i]))
+                        if len(best) >= PSEUDO and rank > max(best.values()):
+                            break
+                        best[same[i]] = min(best.get(same[i], rank), rank)
+                        if len(best) > PSEUDO:
+                            del best[max(best, key=best.__getitem__)]
+        out = [(v, c, -rank[0], rank[1], *row) for (v, c), rows in kept.items() for row, rank in rows.items()]
         if out:
             types = (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["view", "class", "sure", "hash", "source_bin", "lang_bin", "chars", "text_vec"])
@@ -158,8 +180,8 @@ def _stack(rows: list) -> tuple[np.ndarray, np.ndarray]:
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> DataFrame:
     prepare(docs.sparkSession)
     bin_ = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(BINS)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("hash"), bin_("source").alias("source_bin"), bin_("lang").alias("lang_bin"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), "text")
-    made = rows.mapInArrow(_features, "doc_id long, hash long, source_bin int, lang_bin int, chars long, text_vec binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", "source", "lang").alias("hash"), bin_("source").alias("source_bin"), bin_("lang").alias("lang_bin"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), "text")
+    made = rows.mapInArrow(_features, FEATURES)
     votes = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.when(F.col(label) > 0, 1.0).otherwise(0.0)).alias("share"))
     votes = votes.where("share != 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"))
     feats = stored(made.join(votes, "doc_id", "left"), "quality-features")
@@ -180,14 +202,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", r
     def fitted() -> tuple[Logistic, Logistic]:
         return tuple(Logistic.fit(*(np.concatenate(c) for c in zip(*parts, strict=True))).calibrate(*test) for parts, test in zip(train, tests, strict=True))
 
-    models, seen = fitted(), set()
+    models, given = fitted(), [np.empty(0, np.int64), np.empty(0, np.int64)]
     for k in range(rounds):
-        sure = stored(feats.where("label is null").mapInArrow(_surest(models), "view int, class int, sure double, hash long, source_bin int, lang_bin int, chars long, text_vec binary"), f"quality-round-{k}")
+        sure = stored(feats.where("label is null").mapInArrow(_surest(models, given), SUREST), f"quality-round-{k}")
+        alike = ["view", "class", "source_bin", "lang_bin", "chars", "text_vec"]
+        sure = sure.groupBy(*alike).agg(F.max("sure").alias("sure"), F.min_by("hash", F.struct(-F.col("sure"), "hash")).alias("hash"))
         for v in (0, 1):
             for c in (0, 1):  # at most PSEUDO rows each
-                got = [r for r in sure.where((F.col("view") == v) & (F.col("class") == c)).orderBy(F.desc("sure"), "hash").limit(PSEUDO).collect() if (v, r.hash) not in seen]
-                seen.update((v, r.hash) for r in got)
+                got = sure.where((F.col("view") == v) & (F.col("class") == c)).orderBy(F.desc("sure"), "hash").limit(PSEUDO).collect()
                 if got:
+                    given[v] = np.append(given[v], [r.hash for r in got])
                     train[1 - v].append((_stack(got)[1 - v], np.full(len(got), float(c))))
         models = fitted()
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
