@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names; a folder of our own only where none is set and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cloakframe-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cloakframe-")  # driver and executors are one process
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -51,14 +53,22 @@ def scratch_paths() -> Iterator[list[str]]:
         _SCOPES.remove(paths)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: it cuts the lineage, and outlives executors."""
+def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder (at most `files` files) and read again: it cuts the lineage, and outlives executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], label: str, files: int | None = None) -> DataFrame:
+    """What make() gives, stored; every other scratch table that it wrote goes."""
+    with scratch_paths() as paths:
+        out = stored(made := make(), label, files)
+    discard(made.sparkSession, paths[:-1])
+    return out
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes scratch folders that no later result reads."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -78,6 +88,11 @@ def partitions(df: DataFrame, target: int = 32 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // target))
 
 
+def writers(df: DataFrame, target: int = 32 << 20) -> int:
+    """Files of a table that is made from df: many small ones cost more than they help. Two a core at least, then by df's size."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,14 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, mix64, pack, partitions, powers, prepare, stored, table, unpack
+from .common import flat_text, mix64, pack, partitions, powers, prepare, release_memory, settled, stored, table, unpack, writers
 
 N_WORDS, PERCENT = 5, 80
 CELLS, CHUNKS, SLICE = 1 << 22, 16, 1 << 19
 CELL_SHIFT = 56 - 22
 SMALL, LEADERS, BLOCK, GUESTS = 4, 3, 64, 1024
-#: Buckets of a set's histogram for the first suffix filter, bytes of an n-gram in a shipped set, bits of the filter of wanted ids.
-BUCKETS, GRAM_BYTES, BITS = 128, 6, 1 << 23
+#: Buckets of a set's histogram for the first suffix filter, bytes of an n-gram in a shipped set, most bits of the filter of wanted ids.
+BUCKETS, GRAM_BYTES, MOST_BITS = 128, 6, 1 << 26
+#: From this rarity level on (4 times the logarithm of the count, here 2^18) an n-gram's sets are dealt over parts; sets of a part in the last step.
+HOT_LEVEL, PART = 72, 4096
 _U = np.uint64
 _MIX = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 ENTRY = ["<u8", "<u8", "<u4", "<u4"]  # n-gram, node, set size, position
@@ -104,6 +106,7 @@ def _sketch(n_words: int):
                     wait, waiting = [], 0
         if wait:
             counts += np.bincount(np.concatenate(wait), minlength=CELLS).astype(np.uint32)
+        release_memory()
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(c.astype("<u2").tobytes(), 1) for c in np.split(np.minimum(counts, 0xFFFF), CHUNKS)])], names=["chunk", "counts"])
 
@@ -164,22 +167,34 @@ def _prefixes(buckets: int, levels: np.ndarray, n_words: int, percent: int):
                     seen.add(node)
                     shapes[i] = shape_of(x)
                     parts.append((x[: n + (-percent * n) // 100 + 1], node, n))
-            yield _rows(_ROUTED, kind=np.ones(batch.num_rows, np.int32), bucket=(sizes % buckets).astype(np.int32), doc_id=batch.column("doc_id"), key=batch.column("key"), node=nodes.view(np.int64), n=sizes, shape=shapes)
+            # these rows only pass through: they are spread evenly, the same way in every attempt
+            spread = mix64(np.arange(batch.num_rows, dtype=_U) + nodes) % _U(buckets)
+            yield _rows(_ROUTED, kind=np.ones(batch.num_rows, np.int32), bucket=spread.astype(np.int32), doc_id=batch.column("doc_id"), key=batch.column("key"), node=nodes.view(np.int64), n=sizes, shape=shapes)
             if not parts:
                 continue
             length = np.array([len(p[0]) for p in parts])
             gram = np.concatenate([p[0] for p in parts])
             node, n = (np.repeat(np.array([p[c] for p in parts], d), length) for c, d in ((1, _U), (2, np.uint32)))
             pos = (np.arange(len(gram)) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint32)
-            to = (mix64(gram) % _U(buckets)).astype(np.int32)
+            to = (mix64(gram + _part(gram, node)) % _U(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order], prepend=-1))
             blobs = [pack(gram[x], node[x], n[x], pos[x]) for x in np.split(order, edges[1:])]
             yield _rows(_ROUTED, kind=np.zeros(len(edges), np.int32), bucket=to[order][edges], blob=blobs)
+        release_memory()
 
     return run
 
 
+def _part(gram: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The part of a very frequent n-gram that a node belongs to; 0 for all others."""
+    level = (gram >> _U(56)).astype(np.int64)
+    hot = np.flatnonzero(level >= HOT_LEVEL)
+    part = np.zeros(len(gram), _U)
+    part[hot] = mix64(node[hot] ^ _MIX[5]) % (_U(2) << ((level[hot] - HOT_LEVEL) // 4).astype(_U))
+    return part
+
+
 def passes(na, pa_, nb, pb, percent: int):
     """Length and positional filters at a shared n-gram."""
     na, nb = na.astype(np.int64), nb.astype(np.int64)
@@ -189,7 +204,7 @@ def passes(na, pa_, nb, pb, percent: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...] | pa.RecordBatch]:
-    """Passes on rows without entries; then yields sorted entries of n-grams with two nodes or more, and group starts."""
+    """Passes on rows without entries; then yields sorted entries of groups (n-gram and part) of two nodes or more, or of split n-grams, and group starts."""
     got = []
     for batch in batches:
         rest = batch.filter(pc.not_equal(batch.column("kind"), 0))
@@ -200,24 +215,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
         return
     gram, node, n, pos = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
-    order = np.argsort(gram, kind="stable")
-    sorted_ = gram[order]
-    lone = np.ones(len(order), bool)
+    group = gram + _part(gram, node)
+    split = (gram >> _U(56)) >= _U(HOT_LEVEL)
+    order = np.argsort(group, kind="stable")
+    sorted_ = group[order]
+    lone = ~split[order]
     lone[1:] &= sorted_[1:] != sorted_[:-1]
     lone[:-1] &= sorted_[1:] != sorted_[:-1]
     order = order[~lone]
-    gram, node, n, pos = (x[order] for x in (gram, node, n, pos))
-    order = np.lexsort((node, gram))
-    gram, node, n, pos = (x[order] for x in (gram, node, n, pos))
-    keep = np.ones(len(gram), bool)
-    keep[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-    gram, node, n, pos = (x[keep] for x in (gram, node, n, pos))
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
-    size = np.diff(np.append(start, len(gram)))
-    keep = np.repeat(size > 1, size)
-    gram, node, n, pos = (x[keep] for x in (gram, node, n, pos))
-    size = size[size > 1]
-    yield gram, node, n.astype(np.int64), pos.astype(np.int64), np.cumsum(size) - size, size
+    order = order[np.lexsort((node[order], gram[order], group[order]))]
+    group, gram, node, n, pos, split = (x[order] for x in (group, gram, node, n, pos, split))
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (gram[1:] != gram[:-1])
+    keep = new.copy()
+    keep[1:] |= node[1:] != node[:-1]
+    number = np.cumsum(new)[keep]
+    gram, node, n, pos, split = (x[keep] for x in (gram, node, n, pos, split))
+    size = np.bincount(number)[number] if len(number) else number
+    keep = (size > 1) | split
+    gram, node, n, pos, number = (x[keep] for x in (gram, node, n, pos, number))
+    start = np.flatnonzero(np.diff(number, prepend=0))
+    yield gram, node, n.astype(np.int64), pos.astype(np.int64), start, np.diff(np.append(start, len(gram)))
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,8 +272,12 @@ def _candidates(buckets: int, percent: int):
             edges = np.flatnonzero(np.diff(to[order], prepend=-1))
             if len(edges):
                 yield _rows(_ROUTED, kind=np.full(len(edges), 2, np.int32), bucket=to[order][edges], blob=[pack(a[x], b[x]) for x in np.split(order, edges[1:])])
-            if len(at):
-                yield _rows(_ROUTED, kind=np.array([3], np.int32), bucket=np.array([0], np.int32), blob=[pack(gram[at], node[at], n[at].astype("<u4"), pos[at].astype("<u4"))])
+            # pairs with leaders are candidates already; those of a split n-gram's leaders only inside their part
+            rank = np.arange(len(gram)) - np.repeat(start, size)
+            rest = np.flatnonzero((many & (rank >= LEADERS)) | ((gram >> _U(56)) >= _U(HOT_LEVEL)))
+            if len(rest):
+                yield _rows(_ROUTED, kind=np.array([3], np.int32), bucket=np.array([0], np.int32), blob=[pack(gram[rest], node[rest], n[rest].astype("<u4"), pos[rest].astype("<u4"))])
+        release_memory()
 
     return run
 
@@ -266,6 +288,7 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         a, b = _unique_pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
         for k in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000].view(np.int64)), pa.array(b[k : k + 100_000].view(np.int64))], names=["host", "guest"])
+    release_memory()
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,36 +310,86 @@ def _overlap_possible(a: np.ndarray, b: np.ndarray, na, nb, percent: int) -> np.
     return full | (np.minimum(a, b).sum(axis=-1, dtype=np.int64) >= -(-percent * (na + nb) // (100 + percent)))
 
 
+CROSS = ("gram", "band", "salt", "guest", "node", "n", "pos", "label", "members")
+
+
+def banded(known: DataFrame, percent: int, n: int) -> DataFrame:
+    """Entries of n-grams whose nodes have unlike labels, sorted by (n-gram, band, salt), hosts before guests.
+
+    A small group is one part, whose entries are hosts and guests at once (guest null). In a large one the sets of a band are
+    hosts in one part each, and guests in all parts of their own band and the next: set sizes of a pair differ by one band at most.
+    """
+    unlike = known.groupBy("gram").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram", "size")
+    rows = known.join(unlike.hint("merge"), "gram")
+    lit = lambda v, t: F.lit(v).cast(t)
+    small = rows.where(F.col("size") <= PART).select("*", lit(-1, "int").alias("band"), lit(0, "int").alias("salt"), lit(None, "int").alias("guest"))
+    large = rows.where(F.col("size") > PART).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
+    salts = large.groupBy("gram", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts"))
+    large = large.join(salts.hint("merge"), ["gram", "band"])
+    hosts = large.select("*", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), lit(0, "int").alias("guest"))
+    own = large.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), lit(1, "int").alias("guest"))
+    above = salts.select("gram", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
+    next_ = large.join(above.hint("merge"), ["gram", "band"]).withColumn("band", F.col("band") + 1).select("*", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("salt"), lit(2, "int").alias("guest"))
+    cols = [*CROSS, "shape"]
+    out = small.select(*cols).unionByName(hosts.select(*cols)).unionByName(own.select(*cols)).unionByName(next_.select(*cols))
+    return out.repartition(n, "gram", "band", "salt").sortWithinPartitions("gram", "band", "salt", "guest", "node")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of CROSS and shapes, part by part; only one part is held at a time."""
+    held: list[tuple[list[np.ndarray], np.ndarray]] = []
+
+    def joined():
+        return [np.concatenate(x) for x in zip(*(c for c, _ in held), strict=True)], np.concatenate([s for _, s in held])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols, shape = [batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in CROSS], _shapes(batch.column("shape"))
+        new = np.ones(len(shape), bool)
+        new[1:] = (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)
+        edges = np.append(np.flatnonzero(new), len(shape))
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = [c[s:e] for c in cols], shape[s:e]
+            if held and any(held[0][0][k][0] != part[0][k][0] for k in range(3)):
+                yield joined()
+                held = []
+            held.append(part)
+    if held:
+        yield joined()
+
+
 def _cross(percent: int):
-    """Entries of large groups with labels, all of an n-gram in one partition -> (host label, block, guest)."""
+    """Sorted parts of large groups -> (host label, block, guest): pairs of unlike labels that pass the filters; the larger component is the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[*(b.column(c).to_numpy() for c in ("gram", "node", "n", "pos", "label", "members")), _shapes(b.column("shape"))] for b in batches]
-        if not got:
-            return
-        gram, node, n, pos, label, members, shape = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((node.view(_U), gram))
-        gram, node, n, pos, label, members, shape = (x[order] for x in (gram, node, n, pos, label, members, shape))
-        edges = np.flatnonzero(np.diff(gram, prepend=gram[:1] - 1, append=gram[-1:] + 1))
-        found: set[tuple[int, int, int]] = set()
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            s += LEADERS  # pairs with these are verified
-            if (label[s:e] == label[s]).all():
-                continue
-            by_size = np.lexsort((label[s:e], members[s:e]))
-            for r, i in enumerate((by_size + s).tolist()):  # partners: of larger components
-                others = by_size[r + 1 :] + s
-                others = others[label[others] != label[i]]
-                ok = others[passes(n[others], pos[others], np.array(n[i]), pos[i], percent)]
-                ok = ok[_overlap_possible(shape[ok], shape[i], n[ok], n[i], percent)]
-                found.update((int(label[j]), int(node[j]) % -(-int(members[j]) // BLOCK), int(node[i])) for j in ok.tolist())
-        if found:
-            cols = np.array(sorted(found), np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["host", "block", "guest"])
+        for (_, _, _, guest, node, n, pos, label, members), shape in _parts(batches):
+            guests = np.flatnonzero(guest != 0)
+            found: set[tuple[int, int, int]] = set()
+            for i in np.flatnonzero(guest <= 0).tolist():
+                others = guests[label[guests] != label[i]]
+                if guest[i] < 0:  # hosts and guests at once: each pair comes up twice, and counts where i is of the larger component
+                    others = others[(members[others] < members[i]) | ((members[others] == members[i]) & (label[others] < label[i]))]
+                others = others[passes(n[others], pos[others], np.array(n[i]), pos[i], percent)]
+                others = others[_overlap_possible(shape[others], shape[i], n[others], n[i], percent)]
+                for j in others.tolist():
+                    big, small = (i, j) if (members[i], label[i]) > (members[j], label[j]) else (j, i)
+                    found.add((int(label[big]), int(node[big]) % -(-int(members[big]) // BLOCK), int(node[small])))
+                if len(found) > 100_000:
+                    yield _triples(found)
+                    found = set()
+            if found:
+                yield _triples(found)
+        release_memory()
 
     return run
 
 
+def _triples(found: set[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = np.array(sorted(found), np.int64).T
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["host", "block", "guest"])
+
+
 def _by_shape(percent: int):
     """Pairs whose histograms allow the overlap that the threshold asks for."""
 
@@ -331,38 +404,30 @@ def _by_shape(percent: int):
     return run
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BITS, bool)
-    for batch in batches:
-        bits[batch.column("h").to_numpy()] = True
-    if bits.any():
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["chunk", "bits"])
-
-
-def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BITS // 8, np.uint8)
-    for batch in batches:
-        for blob in batch.column("bits").to_pylist():
-            total |= np.frombuffer(blob, np.uint8)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()])], names=["chunk", "bits"])
-
-
 def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """rows whose column may be in wanted: a filter of BITS bits, whatever the input; a join follows, which is exact."""
-    at = F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
-    parts = wanted.select(at.alias("h")).mapInArrow(_bits, "chunk int, bits binary")
-    one = parts.repartition(8).mapInArrow(_or, "chunk int, bits binary").collect()  # at most eight rows of 1 MB
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in one:
-        bits |= np.frombuffer(r.bits, np.uint8)
-    if np.unpackbits(bits).mean() > 0.5:
+    """rows whose column may be in wanted: a filter of eight bits or more for each wanted value; a join follows, which is exact. Very many values get no filter."""
+    count = wanted.count()
+    bits = 1 << max(16, (8 * count - 1).bit_length())
+    if bits > MOST_BITS:
         return rows
+    at = F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(bits, bool)
+        for batch in batches:
+            mine[batch.column("h").to_numpy()] = True
+        if mine.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(mine).tobytes()])], names=["chunk", "bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for r in wanted.select(at.alias("h")).coalesce(max(1, (1 << 26) // bits)).mapInArrow(mark, "chunk int, bits binary").collect():  # 8 MB in all
+        total |= np.frombuffer(r.bits, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column("__at").to_numpy()
-            yield batch.filter(pa.array((bits[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)).drop_columns(["__at"])
+            yield batch.filter(pa.array((total[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)).drop_columns(["__at"])
+        release_memory()
 
     return rows.withColumn("__at", at).mapInArrow(run, rows.schema)
 
@@ -430,6 +495,7 @@ def _verify(percent: int):
                         links.append((members[int(ok[0])][0], node))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        release_memory()
 
     return run
 
@@ -447,8 +513,9 @@ def verified(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent
 
 def components(links: DataFrame, label: str) -> DataFrame:
     """(a, b) -> (node, label): the least node of its component, for nodes with links. Alternating stars."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{label}-0")
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{label}-0", writers(links))
     check, k = None, 0
+    files = max(2 * links.sparkSession.sparkContext.defaultParallelism, edges.count() >> 20)  # the edges never get more
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -457,7 +524,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u != v").distinct()
         k += 1
-        edges = stored(small, f"{label}-{k}")
+        edges = stored(small, f"{label}-{k}", files)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") == F.col("v"))).first())
         if now == check:
             break
@@ -474,57 +541,64 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     n = partitions(rows)
     levels = rarity_levels(rows, n_words)
     made = rows.mapInArrow(_prefixes(n, levels, n_words, percent), ROUTED).repartition(n, "bucket").mapInArrow(_candidates(n, percent), ROUTED)
-    made = stored(made, "join-groups")
+    files = writers(rows)
+    made = stored(made, "join-groups", files)
     names = made.where("kind = 1").select("doc_id", "key", "node", "n", "shape")
-    pairs = stored(made.where("kind = 2").select("bucket", "blob").repartition(n, "bucket").mapInArrow(_distinct_pairs, "host long, guest long"), "join-pairs")
+    pairs = stored(made.where("kind = 2").select("bucket", "blob").repartition(n, "bucket").mapInArrow(_distinct_pairs, "host long, guest long"), "join-pairs", files)
     entries = made.where("kind = 3").select("blob").mapInArrow(_entries, "gram long, node long, n long, pos long")
-    nodes = names.where("n > 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("did"), F.first("shape", True).alias("shape"), F.max("n").alias("n"))
-    nodes = stored(nodes, "join-nodes")
+    # the text that stands for a node: of the least id (nulls last), then of the least hash
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), F.coalesce("doc_id", F.lit(0)).alias("did"), "key")).alias("first")
+    nodes = names.where("n > 0").groupBy("node").agg(first, F.first("shape", True).alias("shape"), F.max("n").alias("n"))
+    nodes = stored(nodes.select("node", "first.*", "shape", "n"), "join-nodes", files)
     # sides that grow with the input are merged at every size, never broadcast
     shaped = pairs.hint("merge").join(nodes.select(F.col("node").alias("host"), F.col("shape").alias("a"), F.col("n").alias("na")), "host")
     shaped = shaped.hint("merge").join(nodes.select(F.col("node").alias("guest"), F.col("shape").alias("b"), F.col("n").alias("nb")), "guest")
-    pairs = stored(shaped.select("host", "guest", "a", "b", "na", "nb").mapInArrow(_by_shape(percent), "host long, guest long"), "join-pairs")
+    pairs = stored(shaped.select("host", "guest", "a", "b", "na", "nb").mapInArrow(_by_shape(percent), "host long, guest long"), "join-pairs", files)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             got, blobs, ask = [], [], batch.column("node").to_pylist()
             for i, x in _sets(batch.column("text"), levels, n_words):
-                if len(x) and ask[i] not in seen and node_of(x) == ask[i] & (1 << 64) - 1:  # rows of one doc_id may have other texts
+                if len(x) and ask[i] not in seen and node_of(x) == ask[i] & (1 << 64) - 1:  # texts of one id and hash may still differ
                     seen.add(ask[i])
                     got.append(ask[i])
                     blobs.append(_ship(x))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "grams"])
+        release_memory()
+
+    named = rows.select(F.isnull("doc_id").alias("last"), F.coalesce("doc_id", F.lit(0)).alias("did"), "key", "text")
 
     def sets_of(wanted: DataFrame, label: str) -> DataFrame:
-        wanted = stored(nodes.join(wanted.hint("merge"), "node").select("node", "did"), f"{label}-wanted")
-        texts = likely(rows.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "text"), wanted, "did")
-        return stored(texts.join(wanted.hint("merge"), "did").select("node", "text").mapInArrow(build, "node long, grams binary"), label)
+        wanted = stored(nodes.join(wanted.hint("merge"), "node").select("node", "last", "did", "key"), f"{label}-wanted", files)
+        texts = likely(named, wanted, "key")
+        return stored(texts.join(wanted.hint("merge"), ["last", "did", "key"]).select("node", "text").mapInArrow(build, "node long, grams binary"), label, files)
 
     sets = sets_of(pairs.select(F.explode(F.array("host", "guest")).alias("node")).distinct(), "join-sets")
     alone = pairs.select("host", F.lit(0).cast("long").alias("block"), F.col("host").alias("node")).distinct()
-    links = stored(verified(pairs.withColumn("block", F.lit(0).cast("long")), alone, sets, percent), "join-links")
+    links = stored(verified(pairs.withColumn("block", F.lit(0).cast("long")), alone, sets, percent), "join-links", files)
     labels = components(links, "join-labels")
     sized = labels.join(labels.groupBy("label").agg(F.count("*").alias("members")), "label")
-    sized = stored(sized, "join-sized")
+    sized = stored(sized, "join-sized", files)
     known = entries.join(sized.hint("merge"), "node", "left").select("gram", "node", "n", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("members", F.lit(1)).cast("long").alias("members"))
     known = known.join(nodes.select("node", "shape").hint("merge"), "node")
-    cross = stored(known.repartition(n, "gram").mapInArrow(_cross(percent), "host long, block long, guest long").distinct(), "join-cross")
+    cross = stored(banded(known, percent, n).mapInArrow(_cross(percent), "host long, block long, guest long").distinct(), "join-cross", files)
     block = F.pmod(F.col("node"), F.ceil(F.col("members") / BLOCK).cast("long"))
     hosts = cross.select("host").distinct()
     inside = hosts.join(sized, hosts.host == sized.label).select("host", block.alias("block"), "node")
     single = hosts.join(sized, hosts.host == sized.label, "left_anti").select("host", F.lit(0).cast("long").alias("block"), F.col("host").alias("node"))
-    hosts = stored(inside.unionByName(single).join(cross.select("host", "block").distinct(), ["host", "block"]), "join-hosts")
+    hosts = stored(inside.unionByName(single).join(cross.select("host", "block").distinct(), ["host", "block"]), "join-hosts", files)
     missing = hosts.select("node").unionByName(cross.select(F.col("guest").alias("node"))).distinct().join(sets.select("node"), "node", "left_anti")
     sets = sets.unionByName(sets_of(missing, "join-more-sets"))
     more = verified(cross, hosts, sets, percent)
-    final = components(links.unionByName(stored(more, "join-more")), "join-final")
+    final = components(links.unionByName(stored(more, "join-more", files)), "join-final")
     return names.join(final, "node", "left").select("doc_id", "key", "node", F.col("n").alias("n_shingles"), "label")
 
 
 def document_components(docs: DataFrame, **how) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id."""
-    found = stored(near_duplicates(docs, **how), "join-named").withColumn("group", F.coalesce("label", "node"))
+    found = settled(lambda: near_duplicates(docs, **how), "join-named", writers(docs)).withColumn("group", F.coalesce("label", "node"))
     least = found.where("n_shingles > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     joined = found.join(least, "group", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -535,14 +609,20 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 
     Rows of one id and text stand for each other: where they have to give one row, the other columns decide. Rows without an n-gram stay.
     """
-    found = near_duplicates(docs, **how).where("n_shingles > 0").withColumn("group", F.coalesce("label", "node"))
-    texts = stored(found.groupBy("group", "node", "doc_id", "key").agg(F.count("*").alias("copies")), "join-texts")
-    best = texts.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "node", "key", "copies")).alias("best"))
-    best = stored(best.select("best.doc_id", "best.key", "best.copies"), "join-best")
+
+    def decided() -> DataFrame:
+        """(doc_id, key, several): texts whose rows go, or of which one row stays."""
+        found = near_duplicates(docs, **how).where("n_shingles > 0").withColumn("group", F.coalesce("label", "node"))
+        texts = stored(found.groupBy("group", "node", "doc_id", "key").agg(F.count("*").alias("copies")), "join-texts", writers(docs))
+        best = texts.groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "node", "key", "copies")).alias("best"))
+        best = stored(best.select("best.doc_id", "best.key", "best.copies"), "join-best", writers(docs))
+        gone = texts.join(best, same(texts, best), "left_anti").select("doc_id", "key", F.lit(False).alias("several"))
+        return gone.unionByName(best.where("copies > 1").select("doc_id", "key", F.lit(True).alias("several")))
+
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["key"] == b["key"])
-    gone = texts.join(best, same(texts, best), "left_anti").select("doc_id", "key")
-    several = best.where("copies > 1").select("doc_id", "key")
-    apart = stored(gone.unionByName(several), "join-apart")
+    apart = settled(decided, "join-apart", writers(docs))
+    several = apart.where("several").select("doc_id", "key")
+    apart = apart.select("doc_id", "key")
     rows = docs.select(F.struct(*docs.columns).alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("key"))
     whole = rows.join(apart, same(rows, apart), "left_anti").select("doc.*")
     alike = likely(rows, several, "key")
@@ -552,3 +632,14 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM g),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 80 * (a.n + b.n - COUNT(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, MIN(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, LEAST(doc_id, COALESCE(least.b, doc_id)) AS component_id FROM g LEFT JOIN least ON least.a = g.doc_id"""

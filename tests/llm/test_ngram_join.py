@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from cloakframe.llm import ngram_join as nj
 
@@ -62,8 +63,11 @@ def test_shingles_against_sets(texts):
         assert seen.setdefault(frozenset(want), own) == own
 
 
-@pytest.mark.parametrize(("small", "leaders", "block"), [(8, 8, 512), (2, 1, 3)])
-def test_components_against_brute_force(spark, monkeypatch, small, leaders, block):
+@pytest.mark.parametrize(("small", "leaders", "block", "hot", "part", "bits"), [(8, 8, 512, 72, 4096, 1 << 26), (2, 1, 3, 72, 6, 1), (2, 1, 3, 1, 6, 1 << 26)])
+def test_components_against_brute_force(spark, monkeypatch, small, leaders, block, hot, part, bits):
+    monkeypatch.setattr(nj, "HOT_LEVEL", hot)
+    monkeypatch.setattr(nj, "PART", part)
+    monkeypatch.setattr(nj, "MOST_BITS", bits)
     monkeypatch.setattr(nj, "SMALL", small)
     monkeypatch.setattr(nj, "LEADERS", leaders)
     monkeypatch.setattr(nj, "BLOCK", block)
@@ -123,3 +127,12 @@ def test_filters_lose_nothing():
 
 def test_empty_table(spark):
     assert nj.document_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_a_bucket_are_spread(spark):
+    """Equal texts, null ids and equal set sizes don't meet in one bucket."""
+    docs = spark.createDataFrame([(None, "one and the same text of eight words")] * 4000, "doc_id long, text string").repartition(4)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    made = rows.mapInArrow(nj._prefixes(50, np.zeros(nj.CELLS, np.uint8), 5, 80), nj.ROUTED).where("kind = 1")
+    most = made.groupBy("bucket").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] < 160 and most[1] == 50
