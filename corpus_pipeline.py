@@ -1,8 +1,9 @@
 """Corpus pipeline over `documents`: language, near duplicates, repeated passages, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next stage's docs. A stage's scratch folders go when the stage after it begins: by then its result is
-written.
+as the next stage's docs. Stages need doc_id, text, lang and source; other columns, whatever their names, are
+kept, and repeated rows are rows of their own unless a stage says otherwise. An empty table gives an empty one.
+Operators drop their scratch tables themselves, but for the small ones that a result still reads.
 """
 
 from __future__ import annotations
@@ -15,51 +16,51 @@ from cloakframe.llm.common import crc_mod, discard, prepare, scratch_paths, stor
 
 #: Documents whose language is less likely than this go, and those without a letter.
 LEAST_SCORE = 0.3
-_left: tuple[int, list[str]] = (-1, [])
-
-
-def _stage(k: int, spark: SparkSession, make) -> DataFrame:
-    global _left
-    prepare(spark)
-    if _left[0] == k - 1:
-        discard(spark, _left[1])
-    with scratch_paths() as paths:
-        out = make()
-    _left = (k, paths)
-    return out
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no likely language; `lang` stays as it is."""
-
-    def make() -> DataFrame:
-        model = language.learn(docs, crc_mod("doc_id", 4) != 2)
-        named = language.predict(docs, model, *docs.columns)
-        return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Rejects documents without a letter and those of no likely language; `lang` stays as it is.
 
-    return _stage(0, spark, make)
+    Null and empty texts have no letter. Null languages are not learned from; where no language can be learned, all
+    documents with a letter stay. Equal texts stay or go together.
+    """
+    prepare(spark)
+    model = language.learn(docs, crc_mod("doc_id", 4) != 2)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    # other columns travel in a struct, where their names clash with nothing
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    named = language.predict(rows, model, "row", "text")
+    kept = named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of every component."""
-    return _stage(1, spark, lambda: ngram_join.representatives(docs))
+    """Keeps one row of every component: that of the least id (nulls last), then of the least set and text.
+
+    Repeated rows are duplicates of each other: one stays. Rows without a word stay.
+    """
+    return ngram_join.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; `n_chars` follows."""
-    return _stage(2, spark, lambda: suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")))
+    """Cuts repeated passages of 100 bytes or more out of the texts, whole characters at a time; `n_chars` follows.
+
+    The first place keeps a passage: smaller id (nulls last), then smaller text hash, then earlier start. Null texts stay null.
+    """
+    return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as many times as the mix takes it."""
-    return _stage(3, spark, lambda: mixing.mixed(docs))
+    """A document comes as many times as the mix takes it; equal rows alike, a null source is a source of its own."""
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its sequence and offset."""
+    """A row for each piece of a document with its sequence and offset. A null or empty text is its end id."""
     import public_tokenizers
 
-    return _stage(4, spark, lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -75,10 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to documents; what a stage wrote goes once the next one's result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with scratch_paths() as paths:
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = stored(docs, f"stage-{name}")
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            discard(spark, [*before, *paths[:-1]])
+            before = paths[-1:]
     return docs
