@@ -1,23 +1,24 @@
-"""Removal of repeated byte strings, by merged Burrows-Wheeler transforms of the places that can repeat.
+"""Removal of repeated byte strings, by merged Burrows-Wheeler transforms of shards.
 
 A byte goes if a WIDTH-byte string that covers it also starts earlier (smaller doc_id, or the same document
-and an earlier start); strings are judged on the input. The steps:
+and an earlier start); strings are judged on the input. All repeats are read off transforms of shards, merged by
+refining the interleave of the shards: each round distributes it by the transformed symbols, which sorts by one symbol
+more, and a boundary that first shows in round h has a common prefix of h - 1 symbols. Suffixes are never sorted again.
+A shard is what one batch of one task sends; the merge joins shards of all tasks. There are two levels of symbols:
 
 1. Every WIDTH-byte window has an anchor, the least hash of the GRAM-byte strings in it (the last one of
-   equals); equal windows have equal anchors at equal offsets. Windows with one anchor make a block.
-2. Blocks are grouped by anchor and content. All but the first of equal blocks repeat as a whole. Anchors
-   with one content need no more; those with several contents send the texts of their first blocks on.
-3. These texts are read as strings of super-symbols (STEP bytes each). Every shard of them has its
-   Burrows-Wheeler transform; the transforms are merged by refining the interleave of the shards: each round
-   distributes it by the transformed symbols, which sorts by one symbol more, and a boundary that first shows
-   in round h has a common prefix of h - 1 symbols. After WIDTH / STEP rounds the intervals without boundary
-   are the repeated windows of all shards; suffixes are never sorted again. In an interval all but the
-   first window repeat.
-4. The covered spans are joined to the documents.
-
-Blocks travel in packed columns. A group of copies is reduced to its first member in each batch before
-any shuffle. An anchor with more than CROWDED contents sends single windows, spread by their first symbol.
-Windows are compared by 64-bit hashes of their symbols (five for each window).
+   equals); equal windows have equal anchors at equal offsets. Windows with one anchor make a block, the string
+   (anchor, content). Each shard has its transform; it sends the first of its equal blocks. In the merged transforms an
+   interval with a common prefix of two symbols is a block that repeats as a whole, all but its first place. An
+   interval with one common symbol and several contents sends the texts of its first places on. Blocks whose
+   anchor stands alone can't repeat; that is all that is filtered out.
+2. These texts are strings of super-symbols (STEP bytes each), again with a transform for each shard that sent
+   some. After WIDTH / STEP rounds the intervals without boundary are the repeated windows of all shards. In an
+   interval all but the first window repeat.
+
+The covered spans are joined to the documents. Blocks travel in packed columns. An anchor with more than CROWDED
+contents sends single windows, spread by their first symbol. Symbols are 64-bit hashes: of anchors and contents on the
+first level (two for each block), of super-symbols on the second (five for each window).
 
 Defined cases: null text is empty; null doc_id comes last; rows of equal doc_id and different text are
 documents of their own, ordered by text hash; repeated rows (equal id and text) are one document, and each
@@ -34,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, mix64, pack, partitions, powers, prepare, stored, table, unpack
+from .common import flat_text, mix64, pack, partitions, powers, prepare, release_memory, settled, stored, table, unpack, writers
 
 WIDTH, GRAM, STEP = 100, 24, 20
 SPAN = WIDTH - GRAM + 1
-SLICE, UNIT, SHARDS, CROWDED = 1 << 19, 1_500_000, 4, 50_000
+SLICE, UNIT, CROWDED = 1 << 19, 1_500_000, 50_000
 LAST = (1 << 63) - 1
 _U = np.uint64
 ROUTED = "kind int, bucket int, blob binary, did long, tie long, a long, b long"
@@ -148,13 +149,16 @@ def _find_blocks(buckets: int):
             if not parts:
                 continue
             key, content, owner, lo, cnt = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, first, back = np.unique(mix64(key) ^ content, return_index=True, return_inverse=True)
+            order, _, whole = merged_blocks(key, content, np.zeros(len(key), np.int32))
+            # blocks are numbered in order of document and place: the least of an interval is its first
+            starts = np.flatnonzero(np.diff(whole, prepend=-1))
+            first = np.minimum.reduceat(order, starts) if len(order) else order
             again = np.ones(len(key), bool)
             again[first] = False
             o, a, b = join_spans(owner[again], lo[again], lo[again] + cnt[again] + WIDTH - 1)
-            if len(o):
-                yield _table(_ROUTED, kind=np.ones(len(o), np.int32), bucket=(a % buckets).astype(np.int32), did=did[o], tie=tie[o], a=a, b=b)
-            first = np.sort(first)
+            if len(o):  # these rows only pass through: they are spread evenly, the same way in every attempt
+                spread = mix64((did[o] ^ a).view(_U) + np.arange(len(o), dtype=_U)) % _U(buckets)
+                yield _table(_ROUTED, kind=np.ones(len(o), np.int32), bucket=spread.astype(np.int32), did=did[o], tie=tie[o], a=a, b=b)
             to = ((key[first] >> _U(32)) % _U(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             first, to = first[order], to[order]
@@ -164,11 +168,12 @@ def _find_blocks(buckets: int):
                 blobs.append(pack(key[x], content[x], did[owner[x]], tie[owner[x]], lo[x].astype("<u4"), cnt[x].astype("<u1")))
             if len(edges):
                 yield _table(_ROUTED, kind=np.zeros(len(edges), np.int32), bucket=to[edges], blob=blobs)
+        release_memory()
 
     return run
 
 
-def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All blocks of an anchor are in one partition: repeats of whole blocks, and requests for texts."""
     got = []
     for batch in batches:
@@ -179,25 +184,30 @@ def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         got += [unpack(x, BLOCK) for x in batch.column("blob").to_pylist() if x is not None]
     if not got:
         return
+    shard = np.repeat(np.arange(len(got), dtype=np.int32), [len(x[0]) for x in got])
     key, content, did, tie, lo, cnt = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
-    order = np.lexsort((lo, tie, did, content, key))
-    key, content, did, tie, lo, cnt = (x[order] for x in (key, content, did, tie, lo.astype(np.int64), cnt.astype(np.int64)))
-    other_key = np.diff(key, prepend=key[:1] + _U(1)) != 0
-    first = other_key | (np.diff(content, prepend=content[:1] + _U(1)) != 0)
+    order, anchor, whole = merged_blocks(key, content, shard)
+    # places that share their anchor with another one, each interval in order of document and place
+    many = np.bincount(anchor)[anchor] > 1 if len(anchor) else np.zeros(0, bool)
+    order, anchor, whole = order[many], anchor[many], whole[many]
+    key, did, tie, lo, cnt = (x[order] for x in (key, did, tie, lo.astype(np.int64), cnt.astype(np.int64)))
+    order = np.lexsort((lo, tie, did, whole))
+    key, did, tie, lo, cnt, anchor, whole = (x[order] for x in (key, did, tie, lo, cnt, anchor, whole))
+    first = np.diff(whole, prepend=-1) != 0
     twin = ~first & (np.diff(did, prepend=-1) == 0) & (np.diff(tie, prepend=0) == 0) & (np.diff(lo, prepend=-1) == 0)  # a repeated row
     again = np.flatnonzero(~first & ~twin)
     for k in range(0, len(again), 100_000):
         x = again[k : k + 100_000]
         yield _table(_FOUND, kind=np.ones(len(x), np.int32), did=did[x], tie=tie[x], a=lo[x], b=lo[x] + cnt[x] + WIDTH - 1)
     at = np.flatnonzero(first)
-    group = np.cumsum(other_key)[at]
-    contents = np.bincount(group)[group]
+    contents = np.bincount(anchor[at])[anchor[at]] if len(at) else at
     ask = at[contents > 1]
     crowded = contents[contents > 1] > CROWDED
     for k in range(0, len(ask), 100_000):
         x = ask[k : k + 100_000]
         yield _table(_FOUND, kind=np.full(len(x), 2, np.int32), did=did[x], tie=tie[x], a=lo[x], b=cnt[x], key=key[x].view(np.int64), crowded=crowded[k : k + 100_000])
+    release_memory()
 
 
 TEXT = ["<u8", "<i8", "<i8", "<i8", "<u1"]  # key, did, tie, first window, windows; texts follow
@@ -226,6 +236,7 @@ def _send_texts(buckets: int):
             edges = np.flatnonzero(np.diff(to[order], prepend=-1))
             blobs = [pack(*(c[x] for c in cols)) + b"".join([texts[i] for i in x.tolist()]) for x in np.split(order, edges[1:])]
             yield _table(_ROUTED, kind=np.zeros(len(edges), np.int32), bucket=to[order][edges], blob=blobs)
+        release_memory()
 
     return run
 
@@ -238,57 +249,70 @@ def _by_symbol(ranks: np.ndarray) -> np.ndarray:
     return order
 
 
-class Shard:
-    """Burrows-Wheeler transform of strings of super-symbols, to a depth of WIDTH / STEP symbols."""
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    return np.argsort(shard.astype(np.uint16) if len(shard) and int(shard.max()) <= 0xFFFF else shard, kind="stable")
 
-    def __init__(self, positions: np.ndarray, symbol: np.ndarray, before: np.ndarray):
-        """symbol: rank at each position (-1: the end of a string); before: the position one symbol earlier, or -1."""
+
+class Transforms:
+    """Burrows-Wheeler transforms of strings of symbols to a depth: one for each shard, one after the other."""
+
+    def __init__(self, positions: np.ndarray, shard: np.ndarray, symbol: np.ndarray, before: np.ndarray, depth: int):
+        """By position: its shard; its symbol's rank (-1: the end of a string); the position one symbol earlier, or -1."""
         ends = positions[symbol[positions] < 0]
+        ends = ends[_by_shard(shard[ends])]
         order = np.concatenate([ends, positions[symbol[positions] >= 0]])
-        for _ in range(WIDTH // STEP):
+        for _ in range(depth):
             earlier = before[order]
             earlier = earlier[earlier >= 0]
             order = np.concatenate([ends, earlier[_by_symbol(symbol[earlier])]])
-        self.positions, self.n_ends = order, len(ends)
+        order = order[_by_shard(shard[order])]
+        self.positions, self.shard, self.ends, self.depth = order, shard[order], shard[ends], depth
         earlier = before[order]
         self.bwt = np.where(earlier >= 0, symbol[earlier], -1)
 
 
-def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all shards in merged order, and the common prefix with the one before, in symbols (at most WIDTH / STEP)."""
-    depth = WIDTH // STEP
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.positions) for s in shards])
-    z_ends = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.n_ends for s in shards])
-    n, n_ends = len(z), len(z_ends)
-    interval, common = np.zeros(n, np.int32), np.full(n, depth, np.int8)
-    for h in range(1, depth + 1):
+def merge(t: Transforms) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all shards in merged order, and the common prefix with the one before, in symbols (at most the depth)."""
+    z, n, n_ends = t.shard, len(t.shard), len(t.ends)
+    interval, common = np.zeros(n, np.int32), np.full(n, t.depth, np.int8)
+    for h in range(1, t.depth + 1):
         turned = np.empty(n, np.int32)
-        for s, shard in enumerate(shards):
-            turned[z == s] = shard.bwt
+        turned[_by_shard(z)] = t.bwt
         goes = np.flatnonzero(turned >= 0)
         goes = goes[_by_symbol(turned[goes])]
-        z = np.concatenate([z_ends, z[goes]])
+        z = np.concatenate([t.ends, z[goes]])
         sym, old = turned[goes], interval[goes]
         edge = np.ones(n, bool)
         edge[n_ends + 1 :] = (sym[1:] != sym[:-1]) | (old[1:] != old[:-1])
-        common[edge & (common == depth)] = h - 1
+        common[edge & (common == t.depth)] = h - 1
         interval = np.cumsum(edge, dtype=np.int32)
-    out = np.empty(n, np.int64)
-    for s, shard in enumerate(shards):
-        out[z == s] = shard.positions
+    out = np.empty(n, t.positions.dtype)
+    out[_by_shard(z)] = t.positions
     return out, common
 
 
-def repeated_windows(data: np.ndarray, starts: np.ndarray, cnt: np.ndarray, rank: np.ndarray, n_shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of cnt + WIDTH - 1 bytes from `starts` on: (text, window) of windows that a text of smaller rank has too."""
+def merged_blocks(key: np.ndarray, content: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings (key, content) of all shards: their numbers in merged order, and there the intervals of one and of two common symbols."""
+    n = len(key)
+    symbol = np.full(3 * n, -1, np.int32)
+    rank = np.unique(np.concatenate([key, content]), return_inverse=True)[1].astype(np.int32)
+    symbol[0::3], symbol[1::3] = rank[:n], rank[n:]
+    positions = np.arange(3 * n, dtype=np.int32)
+    before = np.where(positions % 3 > 0, positions - 1, -1).astype(np.int32)
+    merged, common = merge(Transforms(positions, np.repeat(shard, 3), symbol, before, 2))
+    starts = merged % 3 == 0
+    return merged[starts] // 3, np.cumsum(common < 1)[starts], np.cumsum(common < 2)[starts]
+
+
+def repeated_windows(data: np.ndarray, starts: np.ndarray, cnt: np.ndarray, rank: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of cnt + WIDTH - 1 bytes from `starts` on, by shard: (text, window) of windows that a text of smaller rank has too."""
     size = cnt + WIDTH - 1
     slots = size + 1
     base = np.concatenate([[0], np.cumsum(slots)])
-    owner = np.repeat(np.arange(len(cnt)), slots)
-    at = np.arange(base[-1]) - base[owner]
+    owner = np.repeat(np.arange(len(cnt), dtype=np.int32), slots)
+    at = (np.arange(base[-1]) - base[owner]).astype(np.int32)
     used = at % STEP < cnt[owner]  # strings that no window starts are left out
-    whole = used & (at + STEP <= size[owner])
-    place = np.flatnonzero(whole)
+    place = np.flatnonzero(used & (at + STEP <= size[owner]))
     src = starts[owner[place]] + at[place]
     words = words8(np.concatenate([data, np.zeros(8, np.uint8)]))
     h = mix64(words[src])
@@ -296,17 +320,14 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, cnt: np.ndarray, rank
     h = mix64(h * _U(5) + words[src + STEP - 8])
     symbol = np.full(base[-1], -1, np.int32)
     symbol[place] = np.unique(h, return_inverse=True)[1]
-    del words, src, h
-    before = np.where(at >= STEP, np.arange(base[-1]) - STEP, -1)
-    positions = np.flatnonzero(used)
-    edges = np.searchsorted(positions, base[np.linspace(0, len(cnt), min(n_shards, len(cnt)) + 1).astype(int)])
-    shards = [Shard(x, symbol, before) for x in np.split(positions, edges[1:-1])]
-    merged, common = merge(shards)
+    del words, src, h, place
+    before = np.where(at >= STEP, np.arange(base[-1], dtype=np.int32) - STEP, -1).astype(np.int32)
+    merged, common = merge(Transforms(np.flatnonzero(used).astype(np.int32), shard[owner], symbol, before, WIDTH // STEP))
     first = np.flatnonzero(common < WIDTH // STEP)
     ranks = rank[owner[merged]]
     least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.append(first, len(merged))))
     again = np.sort(merged[ranks > least])
-    return owner[again], at[again]
+    return owner[again].astype(np.int64), at[again].astype(np.int64)
 
 
 def _merge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +339,9 @@ def _merge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(blob[8 + sum(c.nbytes for c in cols) :])
     if not got:
         return
+    shard = np.repeat(np.arange(len(got), dtype=np.int32), [len(x[0]) for x in got])
     key, did, tie, lo, cnt = (np.concatenate(x) for x in zip(*got, strict=True))
-    cnt = cnt.astype(np.int64)
+    cnt, lo = cnt.astype(np.int64), lo.astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     del texts, got
     starts = np.concatenate([[0], np.cumsum(cnt + WIDTH - 1)])[:-1]
@@ -328,7 +350,7 @@ def _merge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for c in (key, did, tie, lo):
         twin |= np.diff(c[order], prepend=c[order][:1] + c.dtype.type(1)) != 0
     order = order[twin]  # repeated rows have sent their texts twice
-    key, did, tie, lo, cnt, starts = (x[order] for x in (key, did, tie, lo, cnt, starts))
+    key, did, tie, lo, cnt, starts, shard = (x[order] for x in (key, did, tie, lo, cnt, starts, shard))
     edges = np.append(np.flatnonzero(np.diff(key, prepend=key[:1] + _U(1))), len(key))
     weight, k = np.concatenate([[0], np.cumsum(cnt + WIDTH)]), 0
     while k < len(edges) - 1:  # units of whole keys
@@ -339,11 +361,12 @@ def _merge_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = data[np.repeat(starts[x] - at[:-1], size) + np.arange(at[-1])]
         rank = np.empty(len(size), np.int64)
         rank[np.lexsort((lo[x], tie[x], did[x]))] = np.arange(len(size))
-        text, window = repeated_windows(own, at[:-1], cnt[x], rank)
+        text, window = repeated_windows(own, at[:-1], cnt[x], rank, np.unique(shard[x], return_inverse=True)[1].astype(np.int32))
         text, a, b = join_spans(text, window, window + WIDTH)
         if len(text):
             yield _table(_SPANS, did=did[x][text], tie=tie[x][text], a=lo[x][text] + a, b=lo[x][text] + b)
         k = to
+    release_memory()
 
 
 def _identity() -> tuple[Column, Column]:
@@ -353,14 +376,16 @@ def _identity() -> tuple[Column, Column]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(did, tie, spans): a document's repeated spans, in any order, as they were found."""
     prepare(docs.sparkSession)
-    rows = docs.where(F.col("text").isNotNull()).select(*_identity(), "text")
+    rows, files = docs.where(F.col("text").isNotNull()).select(*_identity(), "text"), writers(docs)
     n = partitions(rows)
-    found = stored(rows.mapInArrow(_find_blocks(n), ROUTED).repartition(n, "bucket").mapInArrow(_group_blocks, FOUND), "repeat-blocks")
-    asked = found.where("kind = 2").groupBy("did", "tie").agg(F.collect_list(F.struct("a", "b", "key", "crowded")).alias("asked"))
-    sent = rows.join(asked, ["did", "tie"]).mapInArrow(_send_texts(n), ROUTED)
-    more = stored(sent.repartition(n, "bucket").mapInArrow(_merge_texts, SPANS), "repeat-spans")
-    spans = found.where("kind = 1").select("did", "tie", "a", "b").unionByName(more)
-    return spans.groupBy("did", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+    def spans() -> DataFrame:
+        found = stored(rows.mapInArrow(_find_blocks(n), ROUTED).repartition(n, "bucket").mapInArrow(_merge_blocks, FOUND), "repeat-blocks", files)
+        asked = found.where("kind = 2").groupBy("did", "tie").agg(F.collect_list(F.struct("a", "b", "key", "crowded")).alias("asked"))
+        sent = rows.join(asked, ["did", "tie"]).mapInArrow(_send_texts(n), ROUTED)
+        return found.where("kind = 1").select("did", "tie", "a", "b").unionByName(sent.repartition(n, "bucket").mapInArrow(_merge_texts, SPANS))
+
+    return settled(spans, "repeat-spans", files).groupBy("did", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def cut(text: bytes, spans: list[dict] | None, whole_characters: bool) -> tuple[bytes, int, int]:

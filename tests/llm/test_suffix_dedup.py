@@ -88,7 +88,8 @@ def test_merged_transforms_against_brute_force(seed, n_shards):
     cnt = np.array([len(t) - 99 for t in texts])
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
     rank = rng.permutation(len(texts))
-    text, window = sd.repeated_windows(np.concatenate(texts), starts, cnt, rank, n_shards)
+    shard = rng.integers(0, n_shards, len(texts)).astype(np.int32)
+    text, window = sd.repeated_windows(np.concatenate(texts), starts, cnt, rank, shard)
     least = {}
     for t, r in zip(texts, rank, strict=True):
         for p in range(len(t) - 99):
@@ -104,7 +105,8 @@ def test_merging_sorts_by_common_prefixes():
     ends = np.arange(19, 400, 20)
     symbol[ends], before[ends + 1 - 20] = -1, -1
     positions = np.arange(400)
-    merged, common = sd.merge([sd.Shard(positions[:140], symbol, before), sd.Shard(positions[140:300], symbol, before), sd.Shard(positions[300:], symbol, before)])
+    shard = np.repeat(np.array([0, 1, 2], np.int32), [140, 160, 100])
+    merged, common = sd.merge(sd.Transforms(positions, shard, symbol, before, 5))
     key = lambda p: tuple(symbol[p : p + 5].tolist()[: (symbol[p : p + 5].tolist() + [-1]).index(-1)])
     keys = [key(p) for p in merged.tolist()]
     assert sorted(merged.tolist()) == list(range(400)) and [k for k in keys if len(k) == 5] == sorted(k for k in keys if len(k) == 5)
@@ -113,6 +115,26 @@ def test_merging_sorts_by_common_prefixes():
             assert c == next((i for i in range(5) if a[i] != b[i]), 5)
 
 
+@given(st.integers(0, 10_000), st.integers(1, 7))
+@settings(max_examples=60, deadline=None)
+def test_merged_blocks_against_sorting(seed, n_shards):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 60))
+    key, content = (rng.integers(0, 6, n).astype(np.uint64) * np.uint64(3) for _ in range(2))
+    order, anchor, whole = sd.merged_blocks(key, content, rng.integers(0, n_shards, n).astype(np.int32))
+    pairs = list(zip(key[order].tolist(), content[order].tolist(), strict=True))
+    assert sorted(order.tolist()) == list(range(n)) and pairs == sorted(pairs)
+    for same, cut in ((anchor, 1), (whole, 2)):
+        assert [a == b for a, b in zip(same, same[1:], strict=False)] == [a[:cut] == b[:cut] for a, b in zip(pairs, pairs[1:], strict=False)]
+
+
+def test_repeats_between_shards_of_different_tasks(spark):
+    """Every row in a task of its own: all repeats are found by the merge."""
+    rows = [(i, "x" * 20 + t) for i, t in enumerate(passages(5, 24))]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in rows]).repartition(24, "doc_id")
+    check(sd.removal_report(docs).collect(), rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(None, "z" * 150), (None, "z" * 150), (1, "z" * 120)]])
 def test_ties_and_empty(spark, rows):
     docs = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in rows], "doc_id long, text string")
