@@ -6,7 +6,8 @@
 manifest, which Spark commits, says which files count, so retried and speculative tasks leave nothing wrong.
 
 Defined cases: null or empty text has the end id alone; null doc_id sorts last; rows that share a doc_id
-are documents of their own, ordered by text (nulls first); an empty table gives no shards. Other columns are ignored.
+are documents of their own, ordered by a hash of the text, then by text (nulls first); an empty table gives no
+shards. Other columns are ignored. The range partitioner samples ids and hashes, never texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, scratch, stored, table
+from .common import partitions, prepare, release_memory, scratch, stored, table
 from .eliasfano import EliasFano
 from .tokens import encoder
 
@@ -66,6 +67,7 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
             f.write(len(code).to_bytes(8, "little") + code + zlib.compress(ids.tobytes() + np.packbits(ok).tobytes(), 1))
         row = {"shard": [shard], "n_docs": [len(ids)], "n_tokens": [int(bounds[-1])], "width": [width], "ids_path": [f"{folder}/{name}.ids"], "idx_path": [f"{folder}/{name}.idx"]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids_path", pa.string()), ("idx_path", pa.string())]))
+        release_memory()
 
     return write
 
@@ -73,10 +75,10 @@ def _writer(folder: str, tokenizer_path: str, end_id: int):
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, shard_bytes: int = 32 << 20) -> DataFrame:
     """Writes the files below folder; returns the committed manifest, with base: ids of all shards before."""
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    last = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(partitions(rows, shard_bytes), *last).sortWithinPartitions(*last)
-    made = ranged.withColumn("shard", F.spark_partition_id()).mapInArrow(_writer(folder, tokenizer_path, end_id), MANIFEST)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash").asc()]
+    ranged = rows.repartitionByRange(partitions(rows, shard_bytes), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    made = ranged.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(_writer(folder, tokenizer_path, end_id), MANIFEST)
     manifest = stored(made, "token-manifest")
     # a row for each shard: the window's one task holds as many rows as there are files
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -55,7 +55,8 @@ def test_files_against_brute_force(spark, empty):
     manifest = write_token_files(docs, scratch(spark, "t"), PATH)
     got = sorted(map(tuple, read_token_files(manifest).collect()), key=lambda r: r[1])
     own, want, at = Tokenizer.from_file(PATH), [], 0
-    for i, t in [] if empty else sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    for i, t in [] if empty else sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]])):
         ids = own.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
