@@ -59,3 +59,33 @@ def test_odd_rows(spark):
     got, want = ask(spark, rows), brute(good + twins[1:], lambda i: i % 20 == 0)
     assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
     assert ask(spark, []) == {} and ask(spark, bad[:1]) == {}
+
+
+def test_doubles_stay_doubles(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    rows = [(i, (base + (i * 1e-12 if i < 30 else rng.normal(size=8))).tolist()) for i in range(200)]
+    docs = spark.createDataFrame([Row(vec_id=i, embedding=v) for i, v in rows], "vec_id long, embedding array<double>")
+    for how in ({}, {"exact": True}):
+        got = vectors.nearest_neighbours(docs, F.col("vec_id") == 0, **how).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == list(range(1, 11))
+        assert [r.score for r in got] == [pytest.approx(np.linalg.norm(np.array(rows[i][1]) - np.array(rows[0][1])), rel=1e-12) for i in range(1, 11)]
+
+
+def test_a_query_id_with_several_vectors(spark):
+    rows = rows_of(7, 50, 0)
+    twice = [(0, rows[9][1]), *rows]
+    want = min((np.array(v, "<f4").tobytes(), v) for i, v in twice if i == 0)[1]
+    for part in (twice, twice[::-1]):
+        got = ask(spark, part)[0]
+        x = {i: np.float64(np.float32(v)) for i, v in rows if i}
+        assert [v for v, _ in got] == sorted(x, key=lambda i: (np.linalg.norm(x[i] - np.float64(np.float32(want))), i))[:10]
+
+
+def test_exact_is_brute_force(spark):
+    rows = rows_of(8, 600, 40)
+    docs = spark.createDataFrame([Row(vec_id=i, embedding=v) for i, v in rows], "vec_id long, embedding array<float>")
+    got = {}
+    for r in vectors.nearest_neighbours(docs, F.col("vec_id") % 20 == 0, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [v for v, _ in x] for q, x in brute(rows, lambda i: i % 20 == 0).items()}
