@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog
-from ..functions.names import NameLists, NameScanner
-from ..functions.rules import PII_RULES, Rule, Span, compiled, scan
+from ..functions.names import ADDRESS_RULES, NameLists, NameScanner
+from ..functions.rules import PII_RULES, Reader, Rule, Span, compiled, scan
 from ..functions.secrets import SECRET_RULES
 
 TOKEN_RE = r"\[[A-Z][A-Z0-9_]*_(?:[0-9]{3,}|REDACTED)\]"
@@ -82,23 +82,26 @@ class Scanner:
         only = set(how.only)
         pick = lambda rules: [r for r in rules if not only or r.type in only or (r.type == "URL" and "INTERNAL_URL" in only)]
         pii, secrets, own = pick(PII_RULES), pick(SECRET_RULES), list(how.rules)
-        steps = [("pii", lambda t, lo: scan(t, pii, "pii", lo)), ("secrets", lambda t, lo: scan(t, secrets, "secrets", lo))]
+        steps = [("pii", lambda v: scan(v, pii, "pii")), ("secrets", lambda v: scan(v, secrets, "secrets"))]
         if not only or only & {"PERSON", "ADDRESS", "HEALTHCARE_PROVIDER"}:
             steps.append(("names", names.scan))
         if own:
-            steps.append(("custom", lambda t, lo: scan(t, own, "custom", lo)))
+            steps.append(("custom", lambda v: scan(v, own, "custom")))
         for name, call in how.functions:
-            steps.append((name, lambda t, lo, n=name, f=call: [Span(k, s, e, c, "custom", n, n, False) for k, s, e, c in f(t)]))
+            steps.append((name, lambda v, n=name, f=call: [Span(k, s, e, c, "custom", n, n, False) for k, s, e, c in f(v.text)]))
         self.steps = [(n, f) for n, f in steps if n not in how.disabled]
+        used = {n for n, _ in self.steps}
+        rules = [*(pii if "pii" in used else ()), *(secrets if "secrets" in used else ()), *(ADDRESS_RULES if "names" in used else ()), *own]
+        self.reader = Reader(rules, names.words if "names" in used else ())
 
     def __call__(self, text: str) -> tuple[list[Span], list[str], bool]:
         most = self.how.max_text_bytes
         if most is not None and (len(text) > most or (len(text) * 4 > most and len(text.encode()) > most)):
             return [], ["TEXT_TOO_LARGE"], True
-        lower, spans, warnings = text.lower(), [], []
+        view, spans, warnings = self.reader(text), [], []
         for name, step in self.steps:
             try:
-                spans += step(text, lower)
+                spans += step(view)
             except Exception:  # one detector's failure leaves the others' results, marked as incomplete
                 warnings.append(f"DETECTOR_FAILED:{name}")
         tokens = [m.span() for m in compiled(TOKEN_RE).finditer(text)] if "[" in text else []
