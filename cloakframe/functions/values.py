@@ -7,8 +7,10 @@ import hmac
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # How values of a type are compared.
 LOWER = {"EMAIL", "UPI_ID", "URL", "INTERNAL_URL", "USERNAME", "PERSON", "ADDRESS", "HEALTHCARE_PROVIDER"}
@@ -39,11 +41,21 @@ def marker_col(entity_type: Column) -> Column:
     return F.concat(F.lit("["), entity_type, F.lit("_REDACTED]"))
 
 
-def splice(text: Column, replacements: Column) -> Column:
+def spliced(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """edits: (start, end, replacement) in any order; one that overlaps an earlier one is left out. One pass over the text."""
+    pieces, at = [], 0
+    for start, end, new in sorted(edits):
+        if start >= at:
+            pieces += [text[at:start], new]
+            at = end
+    return "".join([*pieces, text[at:]])
+
+
+@F.arrow_udf(StringType())
+def splice(text: pa.Array, replacements: pa.Array) -> pa.Array:
     """replacements: array of (start, end, repl), disjoint, in any order; offsets count code points from 0."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, r: F.struct(F.concat(s.out, F.substring(text, s.at + 1, r.start - s.at), r.repl).alias("out"), r.end.alias("at"))
-    return F.aggregate(F.array_sort(replacements), start, step, lambda s: F.concat(s.out, F.substring(text, s.at + 1, F.length(text))))
+    out = [t if t is None or not edits else spliced(t, [(e["start"], e["end"], e["repl"]) for e in edits if e is not None]) for t, edits in zip(text.to_pylist(), replacements.to_pylist(), strict=True)]
+    return pa.array(out, pa.string())
 
 
 def pseudonym(key: bytes, entity_type: str, value: str, attempt: int = 0) -> str:

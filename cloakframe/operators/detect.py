@@ -1,6 +1,6 @@
 """Entity detection over a column of text: one Arrow kernel finds spans and resolves overlaps within a row.
 
-Offsets count code points. Entities carry no values unless asked for. Null text has no entities. Texts are scanned
+Offsets count code points. Entities carry no values unless asked for (then also their normal form). Null text has no entities. Texts are scanned
 whole unless limits are asked for: then texts beyond `max_text_bytes` are not scanned and say so in `incomplete`.
 """
 
@@ -20,6 +20,7 @@ from ..functions import catalog
 from ..functions.names import ADDRESS_RULES, NameLists, NameScanner
 from ..functions.rules import PII_RULES, Reader, Rule, Span, compiled, scan
 from ..functions.secrets import SECRET_RULES
+from ..functions.values import normal
 
 TOKEN_RE = r"\[[A-Z][A-Z0-9_]*_(?:[0-9]{3,}|REDACTED)\]"
 ENTITY = "type string, start int, end int, confidence double, source string, detector string, rule string, has_context boolean"
@@ -115,25 +116,35 @@ class Scanner:
         return best, warnings, bool(warnings)
 
 
-def _kernel(how: Detection, column: str, keep: list[str]):
+def entity_rows(spans: list[Span], text: str, values: bool) -> list[dict]:
+    if not values:
+        return [s._asdict() for s in spans]
+    return [{**s._asdict(), "value": (v := text[s.start : s.end]), "norm": normal(s.type, v)} for s in spans]
+
+
+def entity_type(values: bool) -> pa.ListType:
+    return pa.list_(pa.struct([*_STRUCT, *([("value", pa.string()), ("norm", pa.string())] if values else [])]))
+
+
+def _kernel(how: Detection, column: str, keep: list[str], values: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(how)
         for batch in batches:
             entities, warnings, incomplete = [], [], []
             for text in batch.column(column).to_pylist():
                 got, warned, part = scanner(text) if text else ([], [], False)
-                entities.append([s._asdict() for s in got])
+                entities.append(entity_rows(got, text, values))
                 warnings.append(warned)
                 incomplete.append(part)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(entities, pa.list_(_STRUCT)), pa.array(warnings, pa.list_(pa.string())), pa.array(incomplete, pa.bool_())], names=[*keep, "entities", "warnings", "incomplete"]
+                [*(batch.column(c) for c in keep), pa.array(entities, entity_type(values)), pa.array(warnings, pa.list_(pa.string())), pa.array(incomplete, pa.bool_())], names=[*keep, "entities", "warnings", "incomplete"]
             )
 
     return run
 
 
-def detect(segments: DataFrame, text: str = "text", how: Detection | None = None, keep: list[str] | None = None) -> DataFrame:
-    """segments' columns with `entities`, `warnings` and `incomplete`."""
+def detect(segments: DataFrame, text: str = "text", how: Detection | None = None, keep: list[str] | None = None, values: bool = False) -> DataFrame:
+    """segments' columns with `entities`, `warnings` and `incomplete`; with values, entities have `value` and `norm` too."""
     keep = segments.columns if keep is None else keep
     rows = segments.select(*dict.fromkeys([*keep, text]))
     schema = segments.select(*keep).schema
@@ -142,9 +153,10 @@ def detect(segments: DataFrame, text: str = "text", how: Detection | None = None
             raise ValueError(f"column {f} is taken")
     from pyspark.sql.types import _parse_datatype_string
 
-    for f in _parse_datatype_string(FOUND).fields:
+    found = FOUND.replace(", has_context:boolean", ", has_context:boolean, value:string, norm:string") if values else FOUND
+    for f in _parse_datatype_string(found).fields:
         schema = schema.add(f)
-    return rows.mapInArrow(_kernel(how or Detection(), text, list(keep)), schema)
+    return rows.mapInArrow(_kernel(how or Detection(), text, list(keep), values), schema)
 
 
 def entities_of(detected: DataFrame, *keys: str, value_of: str | None = None) -> DataFrame:

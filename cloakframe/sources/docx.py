@@ -9,9 +9,12 @@ from dataclasses import dataclass
 from html import escape
 
 MAX_ENTRIES, MAX_TOTAL, MAX_RATIO, RATIO_FROM = 2000, 200 << 20, 200, 1 << 20
-# Text elements of the streams, parts with text, and properties that are blanked.
+# Text elements of the streams, attributes with text, parts by what they hold, and properties that are blanked.
 STREAMS = ("w:t", "w:delText", "w:instrText", "a:t", "m:t")
-TEXT_PARTS = re.compile(r"word/(document|header[0-9]*|footer[0-9]*|footnotes|endnotes|comments|glossary/document)\.xml\Z")
+ATTRIBUTES = ("w:instr", "w:tooltip", "descr", "title")
+TEXT_PARTS = re.compile(r"word/(document|header[0-9]*|footer[0-9]*|footnotes|endnotes|comments(Extended|Extensible)?|glossary/document|charts/chart[0-9]*|diagrams/(data|drawing)[0-9]*)\.xml\Z")
+UNREAD_PARTS = re.compile(r"word/(media/[^/]+|(embeddings|activeX)/.+|[^/]+\.(html?|mht|mhtml|rtf|txt))\Z", re.I)
+AUTHORS = ("w:author", "w:initials", "w15:author", "w15:userId", "w15:providerId")
 CUSTOM_PARTS = re.compile(r"customXml/item[0-9]+\.xml\Z")
 PROPERTIES = ("dc:creator", "cp:lastModifiedBy", "dc:title", "dc:subject", "dc:description", "cp:keywords", "cp:category", "cp:contentStatus", "Company", "Manager", "HyperlinkBase", "Template")
 _ENTITY = re.compile(r"&(?:#x([0-9A-Fa-f]+)|#([0-9]+)|(amp|lt|gt|quot|apos));")
@@ -85,21 +88,61 @@ def part_segments(part: str, xml: str) -> list[Segment]:
             size += len(piece)
         if nodes:
             out.append(Segment(part, stream, "".join(text), nodes))
+    for m in re.finditer(rf'\s(?:{"|".join(ATTRIBUTES)})="([^"]*)"', xml) if TEXT_PARTS.match(part) else ():
+        piece = decode(m[1])
+        if piece.strip():
+            out.append(Segment(part, "attribute", piece, [Node(m.start(1), m.end(1), 0, piece)]))
     if CUSTOM_PARTS.match(part):
         for m in re.finditer(r">([^<>]*[^<>\s][^<>]*)<", xml):
             piece = decode(m[1])
             out.append(Segment(part, "custom", piece, [Node(m.start(1), m.end(1), 0, piece)]))
     if part.endswith(".rels"):
-        for m in re.finditer(r'<Relationship\s[^>]*?Target="([^"]*)"[^>]*?TargetMode="External"', xml):
-            piece = decode(m[1])
-            out.append(Segment(part, "target", piece, [Node(m.start(1), m.end(1), 0, piece)]))
+        for tag in re.finditer(r"<Relationship\s[^>]*>", xml):
+            m = re.compile(r'\sTarget="([^"]*)"').search(xml, *tag.span())
+            if m and 'TargetMode="External"' in tag[0]:
+                piece = decode(m[1])
+                out.append(Segment(part, "target", piece, [Node(m.start(1), m.end(1), 0, piece)]))
     return out
 
 
-def docx_segments(content: bytes) -> list[Segment]:
+def unread(parts: dict[str, bytes]) -> list[str]:
+    """Warnings of what a word document holds beside readable text: media and objects, and text in forms that the streams don't cover."""
+    out = []
+    if any(UNREAD_PARTS.match(p) for p in parts):
+        out.append("EMBEDDED_MEDIA_NOT_INSPECTED")
+    for p, d in parts.items():
+        if TEXT_PARTS.match(p):
+            xml = d.decode("utf-8", "replace")
+            opened = len(re.findall(rf"<(?:{'|'.join(STREAMS)})(?=[\s>])(?![^>]*/>)", xml))
+            whole = sum(len(re.findall(rf"<{s}(?:\s[^>]*)?>[^<]*</{s}>", xml)) for s in STREAMS)
+            if "<![CDATA[" in xml or opened != whole:
+                out.append("DOCUMENT_STRUCTURE_UNSUPPORTED")
+                break
+    return out
+
+
+def docx_read(content: bytes) -> tuple[list[Segment], list[str]]:
+    """Segments of every part, and warnings of what could not be read."""
     parts = read_zip(content)
     check(parts)
-    return [s for p, d in parts.items() if p.endswith((".xml", ".rels")) for s in part_segments(p, d.decode("utf-8", "replace"))]
+    return [s for p, d in parts.items() if p.endswith((".xml", ".rels")) for s in part_segments(p, d.decode("utf-8", "replace"))], unread(parts)
+
+
+def docx_segments(content: bytes) -> list[Segment]:
+    return docx_read(content)[0]
+
+
+def without_metadata(name: str, data: bytes) -> bytes:
+    """A part without authors and document properties."""
+    if name.startswith("docProps/"):
+        xml = data.decode("utf-8", "replace")
+        for p in (*PROPERTIES, "vt:lpwstr"):
+            xml = re.sub(rf"(<{p}(?:\s[^>]*)?>).*?(</{p}>)", r"\1\2", xml, flags=re.S)
+        return xml.encode()
+    if TEXT_PARTS.match(name) or name == "word/people.xml":
+        for a in AUTHORS:
+            data = re.sub(rf'(?<![\w:]){a}="[^"]*"'.encode(), f'{a}=""'.encode(), data)
+    return data
 
 
 def docx_apply(content: bytes, edits: list[tuple[int, int, int, str]]) -> bytes:
@@ -128,12 +171,6 @@ def docx_apply(content: bytes, edits: list[tuple[int, int, int, str]]) -> bytes:
                 for (s, e), text in sorted(changed[name].items(), reverse=True):
                     xml = xml[:s] + escape(text, quote=True) + xml[e:]
                 data = xml.encode()
-            if name.startswith("docProps/"):
-                xml = data.decode("utf-8", "replace")
-                for p in PROPERTIES:
-                    xml = re.sub(rf"(<{p}(?:\s[^>]*)?>)[^<]*(</{p}>)", r"\1\2", xml)
-                data = xml.encode()
-            if TEXT_PARTS.match(name):
-                data = re.sub(rb'(w:(?:author|initials)=")[^"]*(")', rb"\1\2", data)
+            data = without_metadata(name, data)
             z.writestr(name, data)
     return buffer.getvalue()
