@@ -10,8 +10,10 @@ import re
 from collections import Counter
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # IBAN lengths by country.
 IBAN_LENGTHS = {
@@ -143,6 +145,20 @@ def url_class(url: str) -> str | None:
     return host_class(host) if host else None
 
 
+def public_url(url: str, protocols: tuple[str, ...] = ("https",)) -> bool:
+    """Whether a URL has an allowed protocol, no credentials, and a host that is public by its name or address; names aren't resolved."""
+    try:
+        parts = urlsplit(url)
+        return parts.scheme in protocols and not parts.username and not parts.password and bool(parts.hostname) and host_class(parts.hostname) == "public"
+    except ValueError:
+        return False
+
+
+def supports_language(languages: list[str], language: str | None) -> bool:
+    """A detector without languages, or with `*`, reads all texts; a text of no or mixed language is read by all detectors."""
+    return not languages or language in (None, "", "mixed") or "*" in languages or language.lower().split("-")[0] in languages
+
+
 # Native expressions -------------------------------------------------------------------------------------------
 
 
@@ -190,10 +206,38 @@ def iban_col(c: Column) -> Column:
 
 
 def entropy_col(c: Column) -> Column:
-    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    letters = F.array_sort(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
     n = F.length(c).cast("double")
-    share = lambda x: F.size(F.filter(letters, lambda y: y == x)) / n
-    return F.when(F.length(c) == 0, 0.0).otherwise(-F.aggregate(F.array_sort(F.array_distinct(letters)), F.lit(0.0), lambda s, x: s + share(x) * F.log2(share(x))))
+    share = lambda x: (n - F.length(F.replace(c, x, F.lit("")))) / n
+    return F.when(F.length(c) == 0, 0.0).otherwise(-F.aggregate(F.transform(letters, lambda x: share(x) * F.log2(share(x))), F.lit(0.0), lambda s, x: s + x))
+
+
+def host_class_col(c: Column) -> Column:
+    """host_class as an expression; only hosts with a colon (IPv6) go through an Arrow function."""
+    h = F.regexp_replace(F.regexp_replace(F.lower(c), r"\.\z", ""), r"\A\[|\]\z", "")
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    part = lambda k: F.call_function("split_part", h, F.lit("."), F.lit(k + 1)).try_cast("bigint")
+    number = part(0) * 2**24 + part(1) * 2**16 + part(2) * 2**8 + part(3)
+    four = F
+    for kind, net in _NETWORKS:
+        if net.version == 4:
+            four = four.when(number.between(int(net.network_address), int(net.broadcast_address)), F.lit(kind))
+    four = four.otherwise(F.lit("public"))
+    inside = ~F.contains(h, F.lit(".")) | F.array_contains(F.transform(F.array(*map(F.lit, INTERNAL_NAMES)), lambda x: F.endswith(h, x)), True)
+    named = F.when(h.rlike(r"\A(0x[0-9a-f]+|[0-9]+)\z"), "reserved").when(h.isin(METADATA_NAMES), "metadata").when(h == "localhost", "loopback").when(inside, "internal-name").otherwise("public")
+    return F.when(F.contains(h, F.lit(":")), _host_class_arrow(F.when(F.contains(c, F.lit(":")), c))).when(h.rlike(rf"\A{octet}(\.{octet}){{3}}\z"), four).otherwise(named)
+
+
+@F.arrow_udf(StringType())
+def _host_class_arrow(hosts: pa.Array) -> pa.Array:
+    return pa.array([None if h is None else host_class(h) for h in hosts.to_pylist()], pa.string())
+
+
+def language_supported(languages: list[str], language: Column) -> Column:
+    """supports_language as an expression."""
+    if not languages or "*" in languages:
+        return F.lit(True)
+    return language.isNull() | language.isin("", "mixed") | F.call_function("split_part", F.lower(language), F.lit("-"), F.lit(1)).isin(languages)
 
 
 def script_counts(c: Column) -> dict[str, Column]:

@@ -39,6 +39,7 @@ class Detection:
     only: tuple[str, ...] = ()  # entity types; empty: all
     max_text_bytes: int | None = None
     max_entities: int | None = None
+    priorities: tuple[tuple[str, int], ...] = ()  # of own types; others have their category's
 
 
 def pattern_rule(entity_type: str, rule_id: str, pattern: str, confidence: float = 0.9, flags: str = "", **more) -> Rule:
@@ -56,18 +57,23 @@ def overlapping(spans: list[tuple[int, int]], start: int, end: int) -> bool:
     return (k < len(spans) and spans[k][0] < end) or (k > 0 and spans[k - 1][1] > start)
 
 
-def _order(a: Span, b: Span) -> float:
+def _order(priority: Callable[[str], int]) -> Callable[[Span, Span], float]:
     """Score decides, unless the scores are within 0.05: then the longer span, then the score."""
-    score = lambda s: s.confidence + 0.002 * catalog.priority(s.type)
-    d = score(b) - score(a)
-    return d if abs(d) > 0.05 else (b.end - b.start) - (a.end - a.start) or d
+    score = lambda s: s.confidence + 0.002 * priority(s.type)
 
+    def compare(a: Span, b: Span) -> float:
+        d = score(b) - score(a)
+        return d if abs(d) > 0.05 else (b.end - b.start) - (a.end - a.start) or d
 
-def resolve(spans: list[Span]) -> list[Span]:
-    """The best spans that don't overlap, in order of start."""
+    return compare
+
+
+def resolve(spans: list[Span], own: dict[str, int] | None = None) -> list[Span]:
+    """The best spans that don't overlap, in order of start; own: priorities of own types."""
     kept: list[tuple[int, int]] = []
     out = []
-    for s in sorted(spans, key=cmp_to_key(_order)):
+    priority = catalog.priority if not own else lambda t: own.get(t, catalog.priority(t))
+    for s in sorted(spans, key=cmp_to_key(_order(priority))):
         if not overlapping(kept, s.start, s.end):
             insort(kept, (s.start, s.end))
             out.append(s)
@@ -109,7 +115,7 @@ class Scanner:
         valid = [s for s in spans if 0 <= s.start < s.end <= len(text) and s.confidence == s.confidence and not overlapping(tokens, s.start, s.end)]
         if self.how.only:
             valid = [s for s in valid if s.type in self.how.only]
-        best = resolve(valid)
+        best = resolve(valid, dict(self.how.priorities))
         if self.how.max_entities is not None and len(best) > self.how.max_entities:
             best = best[: self.how.max_entities]
             warnings.append("ENTITY_LIMIT_REACHED")

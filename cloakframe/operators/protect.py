@@ -19,6 +19,7 @@ from pyspark.storagelevel import StorageLevel
 from ..functions.catalog import RISKS
 from ..functions.values import marker_col, normal, pseudonym, splice, token_col
 from ..plans.policy import Policy, decide, resolve_policy
+from ..registry import Registry
 from .detect import Detection, detect
 
 
@@ -27,19 +28,20 @@ def normal_udf(entity_type: pd.Series, value: pd.Series) -> pd.Series:
     return pd.Series([normal(t, v) for t, v in zip(entity_type, value, strict=True)])
 
 
-def decided_entities(requests: DataFrame, policy: Policy | str | dict | None = None, how: Detection | None = None) -> tuple[DataFrame, DataFrame]:
+def decided_entities(requests: DataFrame, policy: Policy | str | dict | None = None, how: Detection | None = None, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
     """(detected requests, decided entities); both are internal: they hold values.
 
     The detected requests are persisted, as several plans read them and each would scan the texts again; a lost executor's part
     is scanned again. Callers may unpersist them once their results are written.
     """
     p = resolve_policy(policy)
+    how = registry.detection(how) if registry else how
     rows = requests.withColumn("policy", F.lit(p.name))
     if "purpose" not in rows.columns:
         rows = rows.withColumn("purpose", F.lit(None).cast("string"))
     base = detect(rows.select("request_id", "session_id", "seq", "text", "purpose", "policy"), how=how, values=True).persist(StorageLevel.MEMORY_AND_DISK)
     entities = base.select("request_id", "session_id", "seq", "purpose", "policy", F.explode("entities").alias("e")).select("request_id", "session_id", "seq", "purpose", "policy", "e.*")
-    return base, decide(entities, [p])
+    return base, decide(entities, [p], registry)
 
 
 def reserved_numbers(requests: DataFrame) -> DataFrame:
@@ -149,10 +151,10 @@ def status_of(blocked: Column, incomplete: Column, warnings: Column, fail_mode:
 NO_NAMES, NO_COUNTS = "cast(array() as array<string>)", "cast(map() as map<string, bigint>)"
 
 
-def protect(requests: DataFrame, policy: Policy | str | dict | None = None, how: Detection | None = None, earlier: DataFrame | None = None, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def protect(requests: DataFrame, policy: Policy | str | dict | None = None, how: Detection | None = None, earlier: DataFrame | None = None, keys: DataFrame | None = None, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
     """(a result for each request, the sessions' mappings). Texts are shuffled once, to meet what is to be replaced in them."""
     p = resolve_policy(policy)
-    base, decided = decided_entities(requests, p, how)
+    base, decided = decided_entities(requests, p, how, registry)
     rows, mappings = replaced(decided, requests, earlier, keys)
     low = decided.where(~F.col("kept")).select("request_id")
     rows = rows.select("request_id", "start", "end", "type", "action", "replacement", "risk_rank", F.lit(True).alias("kept")).unionByName(low.withColumn("kept", F.lit(False)), allowMissingColumns=True)

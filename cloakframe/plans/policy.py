@@ -135,6 +135,20 @@ def problems(spec: Any) -> list[tuple[str, str]]:
     return out
 
 
+def issues(spec: Any) -> list[tuple[str, str, str]]:
+    """(path, severity, message): errors, and warnings of what is allowed but likely a mistake."""
+    out = [(p, "error", m) for p, m in problems(spec)]
+    if isinstance(spec, dict):
+        for where, rules in (("entities", spec.get("entities")), ("output.entities", (spec.get("output") or {}).get("entities") if isinstance(spec.get("output"), dict) else None)):
+            for t in rules if isinstance(rules, dict) else ():
+                if str(t).upper() not in catalog.CATEGORY:
+                    out.append((f"{where}.{t}", "warning", "not a built-in type"))
+        for k, p in enumerate(spec.get("purposes") or [] if isinstance(spec.get("purposes"), list) else []):
+            if isinstance(p, dict) and not p.get("keywords"):
+                out.append((f"purposes[{k}].keywords", "warning", "only its id selects this purpose"))
+    return out
+
+
 def resolve_policy(spec: Policy | str | dict | None) -> Policy:
     """A name, a document that extends a built-in policy, or a short form {TYPE: action}."""
     if spec is None or isinstance(spec, str):
@@ -191,10 +205,11 @@ def load_policy(text: str) -> Policy:
 # Decisions as joins with small tables ----------------------------------------------------------------------------
 
 
-def type_table(spark: SparkSession) -> DataFrame:
-    """Entity types with category, priority and risk: a row for each built-in type."""
-    rows = [(t, c, catalog.PRIORITY[c], catalog.risk_rank(t)) for t, c in catalog.CATEGORY.items()]
-    return spark.createDataFrame(rows, "type string, category string, priority int, risk_rank int")
+def type_table(spark: SparkSession, registry=None) -> DataFrame:
+    """Entity types with category, priority, risk and default action: a row for each built-in type, or each type of a registry."""
+    rank = lambda c: catalog.RISKS.index(catalog.RISK.get(c, "LOW"))
+    rows = [(t, c, catalog.PRIORITY[c], rank(c), None) for t, c in catalog.CATEGORY.items()] if registry is None else [(t.name, t.category, t.priority, rank(t.category), t.default_action) for t in registry.types.values()]
+    return spark.createDataFrame(rows, "type string, category string, priority int, risk_rank int, type_action string")
 
 
 def rule_table(spark: SparkSession, policies: list[Policy]) -> DataFrame:
@@ -228,16 +243,16 @@ def match_purposes(asked: DataFrame, policies: list[Policy]) -> DataFrame:
     return hits.groupBy("policy", "purpose").agg(F.max_by("purpose_id", rank).alias("purpose_id"))
 
 
-def decide(entities: DataFrame, policies: list[Policy]) -> DataFrame:
+def decide(entities: DataFrame, policies: list[Policy], registry=None) -> DataFrame:
     """Adds action, reason, threshold, restorable, category, risk_rank and kept to rows (policy, purpose, type, confidence)."""
     spark = entities.sparkSession
     rows = entities.join(match_purposes(entities, policies), ["policy", "purpose"], "left")
     small = lambda df: F.broadcast(df)  # noqa: E731  tables of policies and types
     rows = rows.join(small(policy_table(spark, policies)), "policy", "left").join(small(rule_table(spark, policies)), ["policy", "type"], "left")
-    rows = rows.join(small(purpose_entities(spark, policies)), ["policy", "purpose_id", "type"], "left").join(small(type_table(spark)), "type", "left")
-    rows = rows.withColumn("action", F.coalesce("purpose_action", "rule_action", "default_action"))
+    rows = rows.join(small(purpose_entities(spark, policies)), ["policy", "purpose_id", "type"], "left").join(small(type_table(spark, registry)), "type", "left")
+    rows = rows.withColumn("action", F.coalesce("purpose_action", "rule_action", "type_action", "default_action"))
     reason = F.when(F.col("purpose_action").isNotNull(), "purpose").when(F.col("rule_action").isNotNull(), "policy").otherwise("default")
     rows = rows.withColumn("reason", reason).withColumn("threshold", F.coalesce("rule_min", "min_confidence"))
     rows = rows.withColumn("category", F.coalesce("category", F.lit("custom"))).withColumn("risk_rank", F.coalesce("risk_rank", F.lit(catalog.risk_rank("CUSTOM")))).withColumn("priority", F.coalesce("priority", F.lit(75)))
     restorable = F.col("action").isin(*REVERSIBLE) & F.coalesce("rule_restore", F.lit(True)) & F.col("restore_tokens")
-    return rows.withColumn("restorable", restorable).withColumn("kept", F.col("confidence") >= F.col("threshold")).drop("purpose_action", "rule_action", "rule_min", "rule_restore", "min_confidence", "default_action", "restore_tokens")
+    return rows.withColumn("restorable", restorable).withColumn("kept", F.col("confidence") >= F.col("threshold")).drop("purpose_action", "rule_action", "type_action", "rule_min", "rule_restore", "min_confidence", "default_action", "restore_tokens")

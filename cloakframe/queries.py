@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import rule_queries
 from .functions import catalog, checks
+from .functions.checks import language_supported
 from .functions.fields import HINTS, field_type_col
 from .functions.rules import PII_RULES
 from .operators.detect import Detection, detect, entities_of
-from .operators.geometry import layout
+from .operators.geometry import image_text, layout, span_boxes
 from .operators.json_protect import protect_json
 from .operators.protect import assign_tokens, decided_entities, normal_udf, protect, release, summary_of
-from .operators.vault import opened, sealed
-from .plans.policy import NAMES, built_in, decide, match_purposes
+from .operators.sessions import destroyed, touched
+from .operators.vault import opened, sealed, unexpired
+from .operators.warnings import distinct_warnings
+from .plans.policy import NAMES, built_in, decide, match_purposes, type_table
+from .sql import register
 from .streaming.monitor import sessions, windowed_counts
 
 RULE = {r.id: r for r in PII_RULES}
@@ -77,8 +82,8 @@ PAGES_SQL = _runs_sql(EMAIL_RUN, EMAIL_STRIP, EMAIL_WHOLE, "pages", "page_id", "
 def risk_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = entities_of(detect(docs, how=only("email", "ipv4", "card")), "doc_id", "source")
-    ranked = found.withColumn("rank", F.when(F.col("type") == "CREDIT_CARD", 3).when(F.col("type") == "EMAIL", 2).otherwise(1))
-    by = ranked.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.max("rank").alias("rank"))
+    ranked = found.join(F.broadcast(type_table(spark)), "type")  # a row for each built-in type
+    by = ranked.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.max("risk_rank").alias("rank"))
     return by.select("source", "n", "docs", F.element_at(F.array(*map(F.lit, catalog.RISKS)), F.col("rank") + 1).alias("risk"))
 
 
@@ -123,17 +128,23 @@ FIELD_SQL = "WITH k AS (SELECT DISTINCT CAST(c_custkey % {n} AS INTEGER) AS k FR
 
 
 def host_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.udf(lambda h: checks.host_class(h), "string")
     k = F.col("c_custkey")
-    hosts = table(spark, sf_dir, "customer").select(F.concat_ws(".", (k * 37) % 256, (k * 11) % 256, k % 256, F.lit(7)).alias("host")).distinct()
-    return hosts.select("host", kind("host").alias("class"))
+    addresses = F.concat_ws(".", (k * 37) % 256, (k * 11) % 256, k % 256, F.lit(7))
+    names = F.concat(F.lit("n"), k % 50, F.element_at(F.array(*map(F.lit, ("", ".corp", ".example.com", ".svc.", ".home.arpa", ".ORG"))), (k % 6 + 1).cast("int")))
+    sixes = F.concat(F.element_at(F.array(*map(F.lit, ("fe80::", "[fd00::", "2001:db8::", "ff02::", "::ffff:10.0.0."))), (k % 5 + 1).cast("int")), k % 90 + 10, F.when(k % 5 == 1, "]").otherwise(""))
+    hosts = table(spark, sf_dir, "customer").select(F.explode(F.array(addresses, names, sixes)).alias("host")).distinct()
+    return hosts.select("host", checks.host_class_col(F.col("host")).alias("class"))
 
 
 HOST_SQL = """
-WITH h AS (SELECT DISTINCT (c_custkey * 37) % 256 AS a, (c_custkey * 11) % 256 AS b, c_custkey % 256 AS c FROM customer)
+WITH h AS (SELECT DISTINCT (c_custkey * 37) % 256 AS a, (c_custkey * 11) % 256 AS b, c_custkey % 256 AS c FROM customer),
+n AS (SELECT DISTINCT c_custkey % 50 AS i, c_custkey % 6 AS s FROM customer),
+x AS (SELECT DISTINCT c_custkey % 5 AS p, c_custkey % 90 + 10 AS i FROM customer)
 SELECT a || '.' || b || '.' || c || '.7' AS host, CASE WHEN a = 0 THEN 'unspecified' WHEN a = 127 THEN 'loopback'
   WHEN a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) THEN 'private' WHEN a = 169 AND b = 254 THEN 'link-local'
-  WHEN (a = 192 AND b = 0 AND c = 0) OR (a = 198 AND b IN (18, 19)) THEN 'reserved' WHEN a BETWEEN 224 AND 239 THEN 'multicast' WHEN a >= 240 THEN 'reserved' ELSE 'public' END AS class FROM h"""
+  WHEN (a = 192 AND b = 0 AND c = 0) OR (a = 198 AND b IN (18, 19)) THEN 'reserved' WHEN a BETWEEN 224 AND 239 THEN 'multicast' WHEN a >= 240 THEN 'reserved' ELSE 'public' END AS class FROM h
+UNION ALL SELECT 'n' || i || ['', '.corp', '.example.com', '.svc.', '.home.arpa', '.ORG'][s + 1], CASE WHEN s IN (2, 5) THEN 'public' ELSE 'internal-name' END FROM n
+UNION ALL SELECT ['fe80::', '[fd00::', '2001:db8::', 'ff02::', '::ffff:10.0.0.'][p + 1] || i || CASE WHEN p = 1 THEN ']' ELSE '' END, ['link-local', 'private', 'public', 'multicast', 'private'][p + 1] FROM x"""
 
 
 def _all_policies() -> list:
@@ -245,7 +256,7 @@ SELECT c_custkey, value, CAST(digits AS HUGEINT) % 97 = 1 AND CASE substr(value,
 
 def ocr_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents as recognised words: their places in the text, summed up for each image."""
-    split = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("word_no", "text")).withColumn("line", F.lit(0))
+    split = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.filter(F.split("text", r"[ \n]"), lambda w: w != "")).alias("word_no", "text")).withColumn("line", F.floor(F.col("word_no") / 9).cast("int"))
     return layout(split).groupBy("image_id").agg(F.count("*").alias("words"), F.max("char_end").alias("chars"), F.sum(F.col("char_start") * (F.col("word_no") % 7)).alias("weighed"))
 
 
@@ -256,6 +267,69 @@ s AS (SELECT doc_id, t, k, COALESCE(SUM(length(t) + 1) OVER (PARTITION BY doc_id
 SELECT doc_id AS image_id, COUNT(*) AS words, CAST(MAX(a + length(t)) AS BIGINT) AS chars, CAST(SUM(a * (k % 7)) AS BIGINT) AS weighed FROM s GROUP BY doc_id"""
 
 
+def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised words of several lines: the text with its line breaks, mean confidence and quality, and boxes of spans over line ends."""
+    split = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn", "role").alias("image_id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word_no", "text"))
+    at = F.col("word_no")
+    words = split.select("image_id", "word_no", "text", F.floor(at / 5).cast("int").alias("line"), (at % 5 * 50).cast("double").alias("x"), (F.floor(at / 5) * 20).cast("double").alias("y"), F.lit(40.0).alias("w"), F.lit(12.0).alias("h"), (F.col("word_no") * 37 % 100).cast("double").alias("confidence"))
+    laid = layout(words)
+    spans = laid.where("word_no = 4").select("image_id", (F.col("char_end") - 1).alias("start"), (F.col("char_end") + 2).alias("end"))
+    boxes = span_boxes(laid, spans).groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum("x").alias("left"), F.max(F.col("y") + F.col("h")).alias("bottom"))
+    texts = image_text(laid).select("image_id", F.md5("text").alias("text_md5"), F.round("confidence", 4).alias("confidence"), "quality")
+    return texts.join(boxes, "image_id", "left")
+
+
+IMAGE_TEXT_SQL = r"""
+WITH w AS (SELECT conv_id || '-' || turn || '-' || role AS image_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations),
+u AS (SELECT image_id, unnest(ws) AS t, unnest(range(len(ws))) AS k FROM w),
+l AS (SELECT image_id, k // 5 AS line, string_agg(t, ' ' ORDER BY k) AS t FROM u GROUP BY ALL),
+x AS (SELECT image_id, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY image_id),
+c AS (SELECT image_id, AVG(CAST(k * 37 % 100 AS DOUBLE)) AS confidence, MAX(k) AS last FROM u GROUP BY image_id)
+SELECT image_id, md5(x.t) AS text_md5, round(confidence, 4) AS confidence, CASE WHEN confidence < 40 THEN 'error' WHEN confidence < 60 THEN 'warning' END AS quality,
+  CASE WHEN last >= 5 THEN 2 WHEN last = 4 THEN 1 END AS boxes, CASE WHEN last >= 4 THEN 198.0 END AS left, CASE WHEN last >= 5 THEN 34.0 WHEN last = 4 THEN 14.0 END AS bottom
+FROM x JOIN c USING (image_id)"""
+
+
+def scalar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars without a query of their own: check digits, field types, URLs and languages, through the SQL functions."""
+    register(spark)
+    k = F.col("c_custkey")
+    number = F.concat(F.lit("23"), F.lpad((k * 7919 % 10**10).cast("string"), 10, "0"))
+    url = F.concat(F.element_at(F.array(*map(F.lit, ("https://", "http://", "https://u:p@", "ftp://"))), (k % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("example.com", "10.0.0.1", "wiki.corp"))), (k % 3 + 1).cast("int")), F.lit("/a"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", number.alias("number"), url.alias("url"))
+    rows = rows.select("c_custkey", F.call_function("is_aadhaar", "number").alias("aadhaar"), F.call_function("is_public_url", "url").alias("public_url"))
+    return rows.withColumn("language_ok", language_supported(["en", "hi"], F.element_at(F.array(*map(F.lit, ("en-GB", "ta", "mixed", "HI"))), (k % 4 + 1).cast("int"))))
+
+
+SCALAR_SQL = f"""
+WITH v AS (SELECT c_custkey, '23' || lpad(CAST(c_custkey * 7919 % 10000000000 AS VARCHAR), 10, '0') AS value FROM customer)
+SELECT c_custkey, {rule_queries._verhoeff} AS aadhaar, c_custkey % 4 = 0 AND c_custkey % 3 = 0 AS public_url, c_custkey % 4 <> 1 AS language_ok FROM v"""
+
+
+def output_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that hold an own token, another session's token, a new address and a card number, under three policies."""
+    k = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").select(k.cast("string").alias("request_id"), k.cast("string").alias("session_id"), k.alias("seq"), F.concat(F.lit("write to c"), k.cast("string"), F.lit("@example.com")).alias("text"))
+    only_mail = only("email", "card")
+    results, mappings = protect(asked, {"EMAIL": "tokenize"}, only_mail)
+    answer = F.element_at(F.array(F.concat(F.lit("to "), F.regexp_extract("safe_text", r"(\[.*\])", 1)), F.lit("to [EMAIL_007]"), F.lit("to new@example.org"), F.lit("card 4111 1111 1111 1111")), (F.col("request_id").cast("int") % 4 + 1))
+    said = results.select(F.col("request_id").alias("response_id"), "session_id", answer.alias("text"))
+    out = None
+    for policy in ("default", "strict", "financial"):
+        one = release(said, mappings, policy, only_mail).select(F.lit(policy).alias("policy"), "response_id", "status", "data", "restored", "unrestored", "unexpected")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+RELEASE_SQL = """
+WITH p(policy, mail, card) AS (VALUES ('default', 'warn', 'redact'), ('strict', 'redact', 'redact'), ('financial', 'redact', 'block'))
+SELECT policy, CAST(c_custkey AS VARCHAR) AS response_id,
+  CASE WHEN c_custkey % 4 = 2 AND mail = 'warn' THEN 'warned' WHEN c_custkey % 4 = 3 AND card = 'block' THEN 'blocked' ELSE 'safe' END AS status,
+  CASE c_custkey % 4 WHEN 0 THEN 'to c' || c_custkey || '@example.com' WHEN 1 THEN 'to [EMAIL_007]' WHEN 2 THEN CASE mail WHEN 'warn' THEN 'to new@example.org' ELSE 'to [EMAIL_REDACTED]' END
+    ELSE CASE card WHEN 'redact' THEN 'card [CREDIT_CARD_REDACTED]' END END AS data,
+  CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS restored, CASE WHEN c_custkey % 4 = 1 THEN 1 ELSE 0 END AS unrestored, CASE WHEN c_custkey % 4 >= 2 THEN 1 ELSE 0 END AS unexpected FROM customer, p"""
+
+
 def audit_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"), "event_type")
 
@@ -311,20 +385,38 @@ ROUNDTRIP_SQL = "SELECT concat_ws('-', conv_id, turn, role) AS response_id, 'saf
 
 
 def json_protect_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of customers; every seventh is null, every eleventh is cut off and no JSON."""
     c = table(spark, sf_dir, "customer")
     contact = F.struct(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("@example.com")).alias("email"))
     doc = F.to_json(F.struct(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string")).alias("name"), contact.alias("contact"), F.col("c_acctbal").alias("balance")))
+    doc = F.when(F.col("c_custkey") % 7 == 0, None).when(F.col("c_custkey") % 11 == 0, F.substring(doc, 1, 20)).otherwise(doc)
     asked = c.select(F.col("c_custkey").cast("string").alias("request_id"), F.col("c_nationkey").cast("string").alias("session_id"), F.col("c_custkey").alias("seq"), doc.alias("document"))
     results, _ = protect_json(asked)
     # a name and an address in each document; numbers of tokens follow the session's order
     safe = F.col("safe_document")
-    return results.select("request_id", "total", F.get_json_object(safe, "$.name").alias("name"), F.get_json_object(safe, "$.contact.email").alias("email"))
+    return results.select("request_id", "status", "total", "risk", F.array_join("tokenized", ",").alias("tokenized"), F.array_join("warnings", ",").alias("warnings"), F.get_json_object(safe, "$.name").alias("name"), F.get_json_object(safe, "$.contact.email").alias("email"))
 
 
 JSON_SQL = """
-WITH n AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
-t AS (SELECT c_custkey, CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS d FROM n)
-SELECT CAST(c_custkey AS VARCHAR) AS request_id, 2 AS total, '[PERSON_' || d || ']' AS name, '[EMAIL_' || d || ']' AS email FROM t"""
+WITH k AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN 'null' WHEN c_custkey % 11 = 0 THEN 'bad' ELSE 'good' END AS kind FROM customer),
+n AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM k WHERE kind = 'good'),
+t AS (SELECT k.c_custkey, kind, CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS d FROM k LEFT JOIN n USING (c_custkey))
+SELECT CAST(c_custkey AS VARCHAR) AS request_id, CASE kind WHEN 'bad' THEN 'uncertain' ELSE 'safe' END AS status, CASE kind WHEN 'good' THEN 2 ELSE 0 END AS total, CASE kind WHEN 'good' THEN 'MEDIUM' ELSE 'NONE' END AS risk,
+  CASE kind WHEN 'good' THEN 'PERSON,EMAIL' ELSE '' END AS tokenized, CASE kind WHEN 'bad' THEN 'REFUSED:not JSON' ELSE '' END AS warnings, '[PERSON_' || d || ']' AS name, '[EMAIL_' || d || ']' AS email FROM t"""
+
+
+def session_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of suppliers with a life of an hour; a third of the sessions is used again after 40 minutes, one of seven is destroyed; what is left after 70 minutes."""
+    minutes = lambda n: F.timestamp_seconds(F.lit(60 * n))
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select((k % 30).cast("string").alias("session_id"), F.concat(F.lit("[EMAIL_"), k.cast("string"), F.lit("]")).alias("token"), minutes(60).alias("expires_at"))
+    sessions_ = rows.select("session_id").distinct()
+    used = sessions_.where(F.col("session_id").cast("int") % 3 == 0).withColumn("used_at", minutes(40))
+    rows = destroyed(touched(rows, used, 3600), sessions_.where(F.col("session_id").cast("int") % 7 == 0))
+    return unexpired(rows, minutes(70)).select("session_id", "token", F.unix_timestamp("expires_at").alias("expires"))
+
+
+LIFECYCLE_SQL = "SELECT CAST(s_suppkey % 30 AS VARCHAR) AS session_id, '[EMAIL_' || s_suppkey || ']' AS token, CAST(6000 AS BIGINT) AS expires FROM supplier WHERE (s_suppkey % 30) % 3 = 0 AND (s_suppkey % 30) % 7 <> 0"
 
 
 def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,10 +432,9 @@ VAULT_SQL = "SELECT CAST(s_nationkey AS VARCHAR) AS session_id, '[PERSON_' || s_
 
 
 def warning_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of equal warnings (code, message, page), in order."""
-    ev = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("request"), F.col("event_type").alias("code"), (F.col("event_id") % 3).alias("page"), "event_id")
-    w = Window.partitionBy("request", "code", "page").orderBy("event_id")
-    return ev.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    """The first of equal warnings (code, message, page) of a request."""
+    ev = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("request_id"), F.col("event_type").alias("code"), F.lit("").alias("message"), (F.col("event_id") % 3).cast("int").alias("page"), F.col("event_id").alias("ord"))
+    return distinct_warnings(ev).select(F.col("request_id").alias("request"), "code", "page", F.col("ord").alias("event_id"))
 
 
 WARNING_SQL = "SELECT user_id % 50 AS request, event_type AS code, event_id % 3 AS page, MIN(event_id) AS event_id FROM events GROUP BY ALL"
@@ -353,10 +444,12 @@ QUERIES = {
     "detect_email_pages": _spark_values("email", source="pages", key="page_id", text="html"), "risk_by_source": risk_by_source, "email_rollup": email_rollup, "language_guess": language_guess, "field_hint_types": field_hint_types,
     "host_classes": host_classes, "policy_decisions": policy_decisions, "purpose_match": purpose_match, "token_assignment": token_assignment, "validators": validators, "iban_checks": iban_checks, "ocr_layout": ocr_layout,
     "audit_windowed_counts": audit_windowed_counts, "session_ttl": session_ttl, "scan_summary": scan_summary, "minimization_report": minimization_report, "restore_roundtrip": restore_roundtrip, "json_protect_customer": json_protect_customer,
-    "vault_roundtrip": vault_roundtrip, "warning_dedup": warning_dedup,
+    "vault_roundtrip": vault_roundtrip, "warning_dedup": warning_dedup, "session_lifecycle": session_lifecycle, "image_text": image_texts, "scalar_checks": scalar_checks, "output_release": output_release,
 }
 SQL = {
     "detect_email": EMAIL_SQL, "detect_ipv4": IPV4_SQL, "detect_card": CARD_SQL, "detect_phone_nanp": NANP_SQL, "detect_email_pages": PAGES_SQL, "risk_by_source": RISK_SQL, "email_rollup": ROLLUP_SQL, "language_guess": LANGUAGE_SQL,
     "field_hint_types": FIELD_SQL, "host_classes": HOST_SQL, "policy_decisions": DECISION_SQL, "purpose_match": PURPOSE_SQL, "token_assignment": TOKEN_SQL, "validators": VALIDATOR_SQL, "iban_checks": IBAN_SQL, "ocr_layout": OCR_SQL,
-    "audit_windowed_counts": AUDIT_SQL, "session_ttl": SESSION_SQL, "restore_roundtrip": ROUNDTRIP_SQL, "json_protect_customer": JSON_SQL, "vault_roundtrip": VAULT_SQL, "warning_dedup": WARNING_SQL,
+    "audit_windowed_counts": AUDIT_SQL, "session_ttl": SESSION_SQL, "restore_roundtrip": ROUNDTRIP_SQL, "json_protect_customer": JSON_SQL, "vault_roundtrip": VAULT_SQL, "warning_dedup": WARNING_SQL, "session_lifecycle": LIFECYCLE_SQL, "image_text": IMAGE_TEXT_SQL, "scalar_checks": SCALAR_SQL, "output_release": RELEASE_SQL,
 }
+QUERIES |= rule_queries.QUERIES
+SQL |= rule_queries.SQL
