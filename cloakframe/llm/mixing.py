@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, table
+from .common import prepare, settled, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hex digits of a level, and levels: 4,096 buckets for each source and level, 2^36 thresholds in all.
@@ -57,10 +57,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, size, h) rows and targets -> targets with whole copies and the hash prefix below which one more is taken."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = stored(targets, "mix-targets", 1)
     state = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     state = state.withColumn("left", F.col("budget")).withColumn("prefix", F.lit("")).withColumn("over", F.lit(0).cast("long"))
     for level in range(LEVELS):
-        # from the second level on, only rows of the boundary bucket are summed
+        # from the second level on, only rows of the boundary bucket are summed; a level's state is a table of one row for each
+        # source, written so that the next level's plan starts from it
         inside = sizes.alias("d").join(state.select("source", "prefix").alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.substring("d.h", 1, DIGITS * level) == F.col("s.prefix")) if level else F.col("d.source").eqNullSafe(F.col("s.source")))
         buckets = inside.groupBy("d.source", F.substring("d.h", 1, DIGITS * (level + 1)).alias("bucket")).agg(F.sum("d.size").alias("n"))
         running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,6 +72,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             state.alias("t").join(edge.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source")), "left")
             .select("t.source", "source_size", "target", "whole", "budget", (F.col("left") - F.col("e.upto") + F.col("e.n")).alias("left"), F.col("e.bucket").alias("prefix"), F.col("e.n").alias("over"))
         )
+        state = stored(state, f"mix-level-{level}", 1)
     # the last bucket is taken if that comes nearer to the target
     nearer = F.col("over") - F.col("left") < F.col("left")
     return state.select("source", "source_size", "target", "whole", "prefix", nearer.alias("closed"))
@@ -84,7 +87,7 @@ def mix_plan(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
     """Slim rows (doc_id, source, size, h), stored once, and the thresholds."""
     prepare(docs.sparkSession)
     slim = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "mix-sizes")
-    return slim, stored(thresholds(slim, source_targets(slim, **how)), "mix-thresholds")
+    return slim, settled(lambda: thresholds(slim, source_targets(slim, **how)), "mix-thresholds", 1)
 
 
 def mix_counts(docs: DataFrame, **how) -> DataFrame:
@@ -96,7 +99,7 @@ def mix_counts(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' columns, a document as many times as it is taken."""
-    _, edges = mix_plan(docs, **how)
+    edges = settled(lambda: mix_plan(docs, **how)[1], "mix-edges", 1)
     names = docs.columns
     inner = docs.select(F.struct("*").alias("row"), hash_of(F.col("doc_id"), F.col("text")).alias("h"), F.col("source").alias("from"))
     joined = inner.join(edges, F.col("from").eqNullSafe(F.col("source"))).withColumn("copies", copies_of(F.col("h")).cast("int"))

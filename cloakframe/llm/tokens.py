@@ -13,7 +13,7 @@ import os
 import numpy as np
 
 #: Cached pieces of a worker; beyond that the cache starts anew. It bounds memory, not results.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 CHUNK = 200
 #: A punctuation character that is one id when it stands alone; it parts pieces that are encoded together.
 MARKS = "^~`"
