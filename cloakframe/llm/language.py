@@ -239,7 +239,9 @@ def learn(docs: DataFrame, may_learn, seed: int = 0) -> ByteTagger | None:
         if taken[r.lang] <= share:
             raw += [(w, labels.index(r.lang)) for window in r.windows for w in pieces(window)]
     x = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w, _ in raw), np.uint8).reshape(-1, WINDOW)
-    return ByteTagger(labels, seed=seed).fit(x, np.array([y for _, y in raw]), np.array([len(w) for w, _ in raw]), seed=seed)
+    model = ByteTagger(labels, seed=seed).fit(x, np.array([y for _, y in raw]), np.array([len(w) for w, _ in raw]), seed=seed)
+    release_memory()
+    return model
 
 
 def predict(docs: DataFrame, model: ByteTagger | None, *keep: str) -> DataFrame:

@@ -125,12 +125,16 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity_levels(rows: DataFrame, n_words: int) -> np.ndarray:
     """A level for each cell of the count sketch over all rows: 0 where n-grams are as rare as most. A task's counts stop at 65,535."""
     parts = rows.select("text").mapInArrow(_sketch(n_words), "chunk int, counts binary")
-    counts = np.zeros(CELLS, np.uint32)
+    counts, width = np.zeros(CELLS, np.uint32), CELLS // CHUNKS
     for r in parts.repartition(CHUNKS, "chunk").mapInArrow(_add_up, "chunk int, counts binary").collect():  # CHUNKS rows, 16 MB in all
-        counts[r.chunk * (CELLS // CHUNKS) : (r.chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(r.counts, "<u4")
-    usual = 2 * int(np.median(counts)) + 16
-    above = [np.maximum(c.astype(np.int64) - usual, 0) for c in np.split(counts, CHUNKS)]
-    return np.concatenate([np.floor(4 * np.log2(1 + a)).clip(0, 255).astype(np.uint8) for a in above])
+        counts[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.counts, "<u4")
+    usual, levels = 2 * int(np.median(counts)) + 16, np.zeros(CELLS, np.uint8)
+    for k in range(0, CELLS, width):
+        above = np.maximum(counts[k : k + width].astype(np.int64) - usual, 0)
+        levels[k : k + width] = np.floor(4 * np.log2(1 + above)).clip(0, 255)
+    del counts
+    release_memory()
+    return levels
 
 
 def _sets(text, levels: np.ndarray, n_words: int) -> Iterator[tuple[int, np.ndarray]]:
