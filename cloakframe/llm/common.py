@@ -57,7 +57,8 @@ def stored(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder (at most `files` files) and read again: it cuts the lineage, and outlives executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    (df if files is None else df.coalesce(files)).write.parquet(path)
+    # no marker file: whoever reads the table has its path from here, after the job
+    (df if files is None else df.coalesce(files)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
