@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -23,7 +24,7 @@ def prompt(data: object, instructions: str | None = None) -> list[dict]:
 def generate(requests: DataFrame, model: Callable[[str], str], policy: Policy | str | dict | None = None, how: Detection | None = None) -> DataFrame:
     """Requests that are blocked or withheld never reach the model; answers are released to their own session."""
     results, mappings = protect(requests, policy, how)
-    call = F.udf(lambda t: model(t), StringType())
+    call = F.arrow_udf(lambda texts: pa.array([None if t is None else model(t) for t in texts.to_pylist()], pa.string()), StringType())
     asked = results.where("safe_text is not null").select(F.col("request_id").alias("response_id"), "session_id", call("safe_text").alias("text"))
     back = release(asked, mappings, policy, how)
     return results.select("request_id", "status").join(back.select(F.col("response_id").alias("request_id"), F.col("status").alias("answer_status"), "data", "restored", "unrestored"), "request_id", "left")

@@ -15,16 +15,37 @@ OUTPUT_ACTIONS = ("allow", "warn", "redact", "tokenize", "block")
 REVERSIBLE = ("tokenize", "pseudonymize")
 STRICT_CONFIDENCE = 0.35
 
-_T, _R, _A, _B = "tokenize", "redact", "allow", "block"
-# Actions of the built-in policies (columns: default, strict, healthcare, financial, developer, enterprise).
+# The built-in policies, and what each of them does with a type (in the order of NAMES).
 NAMES = ("default", "strict", "healthcare", "financial", "developer", "enterprise")
 MATRIX: list[tuple[str, str]] = [
-    ("PERSON", "T T T T T T"), ("EMAIL", "T T R T T T"), ("PHONE", "T T R T T T"), ("USERNAME", "T T R T T T"), ("ADDRESS", "T R R R T T"), ("DATE_OF_BIRTH", "R R R R R R"), ("AGE", "A A A A A A"),
-    ("AADHAAR", "T R R R R R"), ("PASSPORT", "T R R R R R"), ("DRIVER_LICENSE", "T R R R R R"), ("NATIONAL_ID", "T R R R R R"), ("SSN", "T R R R R R"), ("PAN", "T R R T R R"),
-    ("CREDIT_CARD", "R B B B R B"), *((t, "R B B B R B") for t in catalog.SECURITY), ("BANK_ACCOUNT", "T R R T R T"), ("IBAN", "T R R T R T"), ("UPI_ID", "T R R T A T"), ("TRANSACTION_ID", "T R R T A T"),
-    ("PATIENT_ID", "T T T R R T"), ("MEDICAL_RECORD_NUMBER", "T T T R R T"), ("INSURANCE_ID", "T T T R R T"), ("HEALTHCARE_PROVIDER", "T T T R A T"),
-    ("IP_ADDRESS", "T R R R T R"), ("MAC_ADDRESS", "T R R R T R"), ("INTERNAL_URL", "T R R R T R"), ("URL", "A R A A A A"),
-]
+    ("PERSON", "tokenize tokenize tokenize tokenize tokenize tokenize"),
+    ("EMAIL", "tokenize tokenize redact tokenize tokenize tokenize"),
+    ("PHONE", "tokenize tokenize redact tokenize tokenize tokenize"),
+    ("USERNAME", "tokenize tokenize redact tokenize tokenize tokenize"),
+    ("ADDRESS", "tokenize redact redact redact tokenize tokenize"),
+    ("DATE_OF_BIRTH", "redact redact redact redact redact redact"),
+    ("AGE", "allow allow allow allow allow allow"),
+    ("AADHAAR", "tokenize redact redact redact redact redact"),
+    ("PASSPORT", "tokenize redact redact redact redact redact"),
+    ("DRIVER_LICENSE", "tokenize redact redact redact redact redact"),
+    ("NATIONAL_ID", "tokenize redact redact redact redact redact"),
+    ("SSN", "tokenize redact redact redact redact redact"),
+    ("PAN", "tokenize redact redact tokenize redact redact"),
+    ("CREDIT_CARD", "redact block block block redact block"),
+    *((t, "redact block block block redact block") for t in catalog.SECURITY),
+    ("BANK_ACCOUNT", "tokenize redact redact tokenize redact tokenize"),
+    ("IBAN", "tokenize redact redact tokenize redact tokenize"),
+    ("UPI_ID", "tokenize redact redact tokenize allow tokenize"),
+    ("TRANSACTION_ID", "tokenize redact redact tokenize allow tokenize"),
+    ("PATIENT_ID", "tokenize tokenize tokenize redact redact tokenize"),
+    ("MEDICAL_RECORD_NUMBER", "tokenize tokenize tokenize redact redact tokenize"),
+    ("INSURANCE_ID", "tokenize tokenize tokenize redact redact tokenize"),
+    ("HEALTHCARE_PROVIDER", "tokenize tokenize tokenize redact allow tokenize"),
+    ("IP_ADDRESS", "tokenize redact redact redact tokenize redact"),
+    ("MAC_ADDRESS", "tokenize redact redact redact tokenize redact"),
+    ("INTERNAL_URL", "tokenize redact redact redact tokenize redact"),
+    ("URL", "allow redact allow allow allow allow"),
+]
 LEAST = dict(zip(NAMES, (0.5, 0.35, 0.45, 0.45, 0.5, 0.45), strict=True))
 FAIL = dict(zip(NAMES, ("open", "closed", "closed", "closed", "open", "closed"), strict=True))
 UNEXPECTED = dict(zip(NAMES, ("warn", "redact", "redact", "redact", "warn", "redact"), strict=True))
@@ -92,9 +113,8 @@ class Policy:
 
 def built_in(name: str) -> Policy:
     at = NAMES.index(name)
-    code = {"T": _T, "R": _R, "A": _A, "B": _B}
     return Policy(
-        name, "redact", LEAST[name], FAIL[name], {t: TypeRule(code[a.split()[at]]) for t, a in MATRIX}, UNEXPECTED[name], dict(OUTPUT_RULES.get(name, {})), True,
+        name, "redact", LEAST[name], FAIL[name], {t: TypeRule(a.split()[at]) for t, a in MATRIX}, UNEXPECTED[name], dict(OUTPUT_RULES.get(name, {})), True,
         tuple(Purpose(p["id"], tuple(p["keywords"]), p["entities"]) for p in PURPOSES.get(name, [])),
     )
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import Row
 from test_functions import word_file
 
@@ -16,6 +17,7 @@ from cloakframe.operators.images import protect_images
 from cloakframe.operators.json_protect import protect_json
 from cloakframe.operators.protect import protect, release
 from cloakframe.operators.providers import ProviderError, answer_of, provider, request_of
+from cloakframe.operators.sinks import save_files, save_results
 from cloakframe.operators.vault import opened, sealed
 from cloakframe.plans.policy import issues
 from cloakframe.registry import Registry
@@ -213,3 +215,14 @@ def test_providers():
     with pytest.raises(ProviderError) as caught:
         provider("openai", fails, "m")("anna@x.io")
     assert "anna" not in str(caught.value) and "secret" not in str(caught.value)
+
+
+def test_sinks(spark, tmp_path):
+    results, _ = protect(spark.createDataFrame([Row(request_id="a", session_id="s", seq=1, text="mail anna@example.com"), Row(request_id="b", session_id="s", seq=2, text=None)]))
+    save_results(results, str(tmp_path / "t"), "text")
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["mail [EMAIL_001]"]
+    with pytest.raises(AnalysisException):
+        save_results(results, str(tmp_path / "t"), "text")
+    files = spark.createDataFrame([Row(request_id="../a", content=bytearray(b"one")), Row(request_id="b", content=None)], "request_id string, content binary")
+    made = save_files(files, f"file://{tmp_path}/f").collect()
+    assert [(m.key, m.size) for m in made] == [("../a", 3)] and open(made[0].path.removeprefix("file://"), "rb").read() == b"one" and ".." not in made[0].path
