@@ -7,7 +7,7 @@ the smallest hashes among those that may be learned from; the LABELS most freque
 
 Prediction labels every byte of every text. Long texts are read in segments of SEGMENT bytes; each unit starts
 CONTEXT bytes before its segment (inside the text), so the states at a segment's edge know what comes before and
-after it. Shorter rows are read left-aligned in both directions: what follows a row's end never reaches its states.
+after it. What follows a row's end in a group of rows never reaches its states.
 
 Defined cases: null text or a text without a letter is `und` with score 0; so is every text if nothing can be
 learned from; a null doc_id is neither held out nor learned from; a text's label and score are the same alone, in any
@@ -54,8 +54,8 @@ class Direction:
         }
         self.h = hidden
 
-    def run(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """x: (time, rows) bytes -> states (time, rows, hidden)."""
+    def run(self, x: np.ndarray, keep: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """x: (time, rows) bytes -> states (time, rows, hidden). Where inside (time, rows, 1) is 0 a state is the initial one."""
         h, n, (T, U, b) = self.h, x.shape[1], (self.p["T"], self.p["U"], self.p["b"])
         out, state, tape = np.empty((*x.shape, h), np.float32), np.zeros((n, h), np.float32), []
         # the unit's gates are sigmoids: half a tanh of half the sum, so halves are put into the weights
@@ -81,6 +81,8 @@ class Direction:
             state = np.subtract(state, new, out=out[t])
             state *= z
             state += new
+            if inside is not None:
+                state *= inside[t]
         return out, tape
 
     def back(self, x: np.ndarray, tape: list, grad: np.ndarray) -> dict[str, np.ndarray]:
@@ -118,16 +120,18 @@ class ByteTagger:
 
     def positions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(time, rows) bytes, of which lengths[row] count -> (time, rows, labels) probabilities."""
+        h, k, inside = self.forward.h, len(self.labels), None
+        if int(lengths.min()) < len(x):  # backwards a row starts with what follows its end: the unit waits there
+            inside = (np.arange(len(x))[::-1, None] < lengths).astype(np.float32)[:, :, None]
         f, _ = self.forward.run(x)
-        b, _ = self.backward.run(turned(x, lengths))
-        h, k = self.forward.h, len(self.labels)
-        p = (f.reshape(-1, h) @ self.out["V"][:h]).reshape(*x.shape, k)
-        p += turned((b.reshape(-1, h) @ self.out["V"][h:]).reshape(*x.shape, k), lengths)
+        b, _ = self.backward.run(x[::-1], inside=inside)
+        p = f.reshape(-1, h) @ self.out["V"][:h]
+        p += b[::-1].reshape(-1, h) @ self.out["V"][h:]
         p += self.out["c"]
-        p -= p.max(axis=2, keepdims=True)
+        p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(axis=2, keepdims=True)
-        return p
+        p /= p.sum(axis=1, keepdims=True)
+        return p.reshape(*x.shape, k)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, lengths: np.ndarray | None = None) -> tuple[float, list[dict[str, np.ndarray]]]:
         """x: (time, rows) bytes, y: labels of the rows; cross entropy over all positions that count, and its gradients."""

@@ -446,3 +446,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
+
+
+#: Windows are cut from pieces of 64, these from parts of 2,048, so that no long text is sliced for each window.
+OP2_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h, octet_length(encode(COALESCE(text, ''))) AS n FROM documents),
+l AS (SELECT doc_id, h, n, unnest(range(0, n - 99, 2048)) AS c FROM b WHERE n >= 100),
+m AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 2 * (2048 + 99)) AS part FROM l),
+o AS (SELECT doc_id, n, c, part, unnest(range(0, least(2048, n - 99 - c), 64)) AS d FROM m),
+q AS (SELECT doc_id, n, c + d AS c, substr(part, 2 * d + 1, 2 * (64 + 99)) AS piece FROM o),
+x AS (SELECT doc_id, c, piece, unnest(range(0, least(64, n - 99 - c))) AS i FROM q),
+w AS (SELECT doc_id, c + i AS p, md5_number(substr(piece, 2 * i + 1, 200)) AS content FROM x),
+f AS (SELECT content, MIN((doc_id, p)) AS first FROM w GROUP BY content HAVING COUNT(*) > 1),
+r AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (content) WHERE (doc_id, p) <> first),
+i AS (SELECT doc_id, p, SUM(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+s AS (SELECT doc_id, run, MIN(p) AS a, MAX(p) + 100 AS e FROM i GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, COALESCE(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since, e, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS final FROM s),
+c AS (SELECT b.doc_id, COUNT(g.a) AS n_spans, CAST(COALESCE(SUM(g.e - g.a), 0) AS BIGINT) AS n_removed,
+             string_agg(substr(h, 2 * since + 1, 2 * (a - since)) || CASE WHEN final THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY a) AS kept FROM b LEFT JOIN g ON g.doc_id = b.doc_id GROUP BY b.doc_id)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(COALESCE(kept, h))) AS kept_sha256 FROM b JOIN c USING (doc_id)"""

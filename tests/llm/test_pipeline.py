@@ -46,3 +46,42 @@ def test_stages_against_brute_force(spark):
         have[r.doc_id] += r.length
     assert have == +want
     assert all(n <= 4096 for n in Counter({s: sum(r.length for r in packed if r.sequence_id == s) for s in {r.sequence_id for r in packed}}).values())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, row string, doc string, key long, node long, label long, h string, copies int, kept string"
+
+
+def odd_docs(spark, rows):
+    """Columns whose names clash with those that the stages make."""
+    return spark.createDataFrame([(i, t, g, s, None if t is None else len(t), 0.5, "clash", "clash", "clash", 1, 2, 3, "clash", 4, "clash") for i, t, g, s in rows], ODD)
+
+
+def test_stages_on_odd_rows(spark):
+    rng = np.random.default_rng(9)
+    texts = family(rng, 6, 80, 60)
+    rows = [(i, t, "en" if i % 2 else None, None if i == 3 else "s") for i, t in enumerate(texts)]
+    rows += [(None, texts[0], "en", "s"), (None, None, None, None), (None, None, None, None), (7, "", "en", "s"), (8, None, "de", None), (9, "long " + "word" * 30_000, "en", "s"), (2, texts[2], None, "s"), (2, texts[2], None, "s")]
+    docs = odd_docs(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stored(stage(spark, docs, ""), f"odd-{name}")
+        assert docs.columns == odd_docs(spark, rows).columns, name
+        got = docs.collect()
+        if name == "language":
+            assert sorted(r.doc_id or -1 for r in got) == [-1, 0, 1, 2, 2, 2, 3, 4, 5, 9]
+        if name == "near_duplicates":  # copies, in rows with and without an id, are one document
+            assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4, 5, 9]
+        if name == "repeats":
+            assert all(r.n_chars == len(r.text) for r in got) and {r.score for r in got} == {0.5}
+    packed = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_on_an_empty_table(spark):
+    empty = odd_docs(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+
+
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    docs = odd_docs(spark, [(1, "some words", None, "s"), (2, "12 34", None, "s"), (3, None, None, "s")])
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
