@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_text, prepare, release_memory, stored, table
+from .common import flat_text, prepare, release_memory, settled, stored, table
 from .ngram_join import shingles
 
 LABELLED, PSEUDO, ROUNDS, SURE = 6000, 200, 3, 0.95
@@ -219,4 +219,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", r
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return settled(lambda: quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "quality")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, stored, table
+from .common import partitions, prepare, settled, stored, table
 
 #: Bounds of what is fitted; then of the search.
 TRAIN, SHARE, LISTS, PARTS, CODES, ROUNDS = 65_536, 64, 4096, 16, 256, 6
@@ -289,4 +289,4 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = K, probes: in
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return settled(lambda: nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0), "nearest")
