@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog
@@ -242,31 +242,39 @@ def policy_table(spark: SparkSession, policies: list[Policy]) -> DataFrame:
     return spark.createDataFrame(rows, "policy string, default_action string, min_confidence double, fail_mode string, restore_tokens boolean")
 
 
-def purpose_table(spark: SparkSession, policies: list[Policy]) -> DataFrame:
-    rows = [(p.name, k, u.id, w.lower()) for p in policies for k, u in enumerate(p.purposes) for w in (u.keywords or ("",))]
-    return spark.createDataFrame(rows, "policy string, rule_ord int, purpose_id string, keyword string")
-
-
 def purpose_entities(spark: SparkSession, policies: list[Policy]) -> DataFrame:
     rows = [(p.name, u.id, t, a) for p in policies for u in p.purposes for t, a in u.entities.items()]
     return spark.createDataFrame(rows, "policy string, purpose_id string, type string, purpose_action string")
 
 
+def purpose_id_col(policies: list[Policy], policy: str = "policy", purpose: str = "purpose") -> Column:
+    """The id of the purpose that holds, or null: an equal id wins, else the longest keyword in the text, of equals the first purpose.
+
+    An expression over the policies' few keywords: no join, so that rows without a purpose don't meet in one task.
+    """
+    want, out = F.lower(F.trim(purpose)), F.lit(None).cast("string")
+    for p in policies:
+        if p.purposes:
+            ids = [(u.id.lower(), u.id) for u in p.purposes]
+            words = sorted(((w.lower(), k, u.id) for k, u in enumerate(p.purposes) for w in u.keywords if w), key=lambda x: (-len(x[0]), x[1]))
+            held = F
+            for name, own in ids:
+                held = held.when(want == name, F.lit(own))
+            for word, _, own in words:
+                held = held.when(F.contains(want, F.lit(word)), F.lit(own))
+            out = F.when(F.col(policy) == p.name, held.otherwise(F.lit(None))).otherwise(out)
+    return out
+
+
 def match_purposes(asked: DataFrame, policies: list[Policy]) -> DataFrame:
-    """Distinct (policy, purpose) rows with the purpose_id that holds; tables of policies are broadcast (they don't grow)."""
-    spark = asked.sparkSession
-    distinct = asked.select("policy", "purpose").where(F.trim("purpose") != "").distinct()
-    want = F.lower(F.trim("purpose"))
-    both = distinct.join(F.broadcast(purpose_table(spark, policies)), "policy")
-    hits = both.where((F.lower("purpose_id") == want) | ((F.col("keyword") != "") & F.contains(want, F.col("keyword"))))
-    rank = F.struct((F.lower("purpose_id") == want).cast("int").alias("exact"), F.when(F.lower("purpose_id") == want, 0).otherwise(F.length("keyword")).alias("n"), (-F.col("rule_ord")).alias("o"))
-    return hits.groupBy("policy", "purpose").agg(F.max_by("purpose_id", rank).alias("purpose_id"))
+    """Distinct (policy, purpose) rows with the purpose_id that holds."""
+    return asked.select("policy", "purpose").distinct().withColumn("purpose_id", purpose_id_col(policies)).where("purpose_id is not null")
 
 
 def decide(entities: DataFrame, policies: list[Policy], registry=None) -> DataFrame:
     """Adds action, reason, threshold, restorable, category, risk_rank and kept to rows (policy, purpose, type, confidence)."""
     spark = entities.sparkSession
-    rows = entities.join(match_purposes(entities, policies), ["policy", "purpose"], "left")
+    rows = entities.withColumn("purpose_id", purpose_id_col(policies))
     small = lambda df: F.broadcast(df)  # noqa: E731  tables of policies and types
     rows = rows.join(small(policy_table(spark, policies)), "policy", "left").join(small(rule_table(spark, policies)), ["policy", "type"], "left")
     rows = rows.join(small(purpose_entities(spark, policies)), ["policy", "purpose_id", "type"], "left").join(small(type_table(spark, registry)), "type", "left")
