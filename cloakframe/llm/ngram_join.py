@@ -37,7 +37,7 @@ SMALL, LEADERS, BLOCK, GUESTS = 4, 3, 64, 1024
 #: Buckets of a set's histogram for the first suffix filter, bytes of an n-gram in a shipped set, most bits of the filter of wanted ids.
 BUCKETS, GRAM_BYTES, MOST_BITS = 128, 6, 1 << 26
 #: From this rarity level on (4 times the logarithm of the count, here 2^18) an n-gram's sets are dealt over parts; sets of a part in the last step.
-HOT_LEVEL, PART = 72, 4096
+HOT_LEVEL, PART, SALTS = 72, 4096, 32
 _U = np.uint64
 _MIX = [_U(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 ENTRY = ["<u8", "<u8", "<u4", "<u4"]  # n-gram, node, set size, position
@@ -324,16 +324,18 @@ def banded(known: DataFrame, percent: int, n: int) -> DataFrame:
     hosts in one part each, and guests in all parts of their own band and the next: set sizes of a pair differ by one band at most.
     """
     unlike = known.groupBy("gram").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram", "size")
-    rows = known.join(unlike.hint("merge"), "gram")
+    # the sets of one n-gram are dealt over SALTS tasks to learn their number
+    unlike = unlike.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = known.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(unlike.hint("merge"), ["gram", "deal"])
     lit = lambda v, t: F.lit(v).cast(t)
     small = rows.where(F.col("size") <= PART).select("*", lit(-1, "int").alias("band"), lit(0, "int").alias("salt"), lit(None, "int").alias("guest"))
     large = rows.where(F.col("size") > PART).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int"))
     salts = large.groupBy("gram", "band").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts"))
-    large = large.join(salts.hint("merge"), ["gram", "band"])
+    large = large.join(salts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["gram", "band", "deal"])
     hosts = large.select("*", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), lit(0, "int").alias("guest"))
     own = large.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), lit(1, "int").alias("guest"))
-    above = salts.select("gram", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"))
-    next_ = large.join(above.hint("merge"), ["gram", "band"]).withColumn("band", F.col("band") + 1).select("*", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("salt"), lit(2, "int").alias("guest"))
+    above = salts.select("gram", (F.col("band") - 1).alias("band"), F.col("salts").alias("above"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("deal"))
+    next_ = large.join(above.hint("merge"), ["gram", "band", "deal"]).withColumn("band", F.col("band") + 1).select("*", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("salt"), lit(2, "int").alias("guest"))
     cols = [*CROSS, "shape"]
     out = small.select(*cols).unionByName(hosts.select(*cols)).unionByName(own.select(*cols)).unionByName(next_.select(*cols))
     return out.repartition(n, "gram", "band", "salt").sortWithinPartitions("gram", "band", "salt", "guest", "node")
