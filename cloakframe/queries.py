@@ -275,8 +275,8 @@ def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = layout(words)
     spans = laid.where("word_no = 4").select("image_id", (F.col("char_end") - 1).alias("start"), (F.col("char_end") + 2).alias("end"))
     boxes = span_boxes(laid, spans).groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum("x").alias("left"), F.max(F.col("y") + F.col("h")).alias("bottom"))
-    texts = image_text(laid).select("image_id", F.md5("text").alias("text_md5"), F.round("confidence", 4).alias("confidence"), "quality")
-    return texts.join(boxes, "image_id", "left")
+    texts = image_text(laid).select("image_id", F.md5("text").alias("text_md5"), F.round("confidence", 4).alias("confidence"), F.coalesce("quality", F.lit("good")).alias("quality"))
+    return texts.join(boxes, "image_id", "left").na.fill(0, ["boxes", "left", "bottom"])
 
 
 IMAGE_TEXT_SQL = r"""
@@ -285,8 +285,8 @@ u AS (SELECT image_id, unnest(ws) AS t, unnest(range(len(ws))) AS k FROM w),
 l AS (SELECT image_id, k // 5 AS line, string_agg(t, ' ' ORDER BY k) AS t FROM u GROUP BY ALL),
 x AS (SELECT image_id, string_agg(t, chr(10) ORDER BY line) AS t FROM l GROUP BY image_id),
 c AS (SELECT image_id, AVG(CAST(k * 37 % 100 AS DOUBLE)) AS confidence, MAX(k) AS last FROM u GROUP BY image_id)
-SELECT image_id, md5(x.t) AS text_md5, round(confidence, 4) AS confidence, CASE WHEN confidence < 40 THEN 'error' WHEN confidence < 60 THEN 'warning' END AS quality,
-  CASE WHEN last >= 5 THEN 2 WHEN last = 4 THEN 1 END AS boxes, CASE WHEN last >= 4 THEN 198.0 END AS left, CASE WHEN last >= 5 THEN 34.0 WHEN last = 4 THEN 14.0 END AS bottom
+SELECT image_id, md5(x.t) AS text_md5, round(confidence, 4) AS confidence, CASE WHEN confidence < 40 THEN 'error' WHEN confidence < 60 THEN 'warning' ELSE 'good' END AS quality,
+  CAST(CASE WHEN last >= 5 THEN 2 WHEN last = 4 THEN 1 ELSE 0 END AS BIGINT) AS boxes, CAST(CASE WHEN last >= 4 THEN 198 ELSE 0 END AS DOUBLE) AS left, CAST(CASE WHEN last >= 5 THEN 34 WHEN last = 4 THEN 14 ELSE 0 END AS DOUBLE) AS bottom
 FROM x JOIN c USING (image_id)"""
 
 
