@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from bisect import bisect_right
 from dataclasses import dataclass
 from html import escape
 
@@ -149,16 +150,22 @@ def docx_apply(content: bytes, edits: list[tuple[int, int, int, str]]) -> bytes:
     """edits: (segment number, start, end, replacement). The replacement goes to the first node, covered text leaves later ones; metadata is blanked."""
     parts, found = read_zip(content), docx_segments(content)
     changed: dict[str, dict[tuple[int, int], str]] = {}
-    for number, segment in enumerate(found):
-        mine = sorted((e for e in edits if e[0] == number), key=lambda e: e[1])
-        for node in segment.nodes if mine else ():
+    by: dict[int, list[tuple[int, int, str]]] = {}
+    for number, *edit in edits:
+        by.setdefault(number, []).append(tuple(edit))
+    for number, mine in by.items():
+        segment, mine = found[number], sorted(mine)
+        ends = [e for _, e, _ in mine]
+        for node in segment.nodes:
             out, at, end = [], node.at, node.at + len(node.text)
-            for _, s, e, new in mine:
-                if s < end and e > node.at:
-                    out.append(segment.text[at : max(s, at)])
-                    if s >= node.at:
-                        out.append(new)
-                    at = min(max(e, at), end)
+            k = bisect_right(ends, node.at)  # the first edit that reaches into the node
+            while k < len(mine) and mine[k][0] < end:
+                s, e, new = mine[k]
+                out.append(segment.text[at : max(s, at)])
+                if s >= node.at:
+                    out.append(new)
+                at = min(max(e, at), end)
+                k += 1
             out.append(segment.text[at:end])
             text = "".join(out)
             if text != node.text:
@@ -168,9 +175,11 @@ def docx_apply(content: bytes, edits: list[tuple[int, int, int, str]]) -> bytes:
         for name, data in parts.items():
             if name in changed:
                 xml = data.decode("utf-8", "replace")
-                for (s, e), text in sorted(changed[name].items(), reverse=True):
-                    xml = xml[:s] + escape(text, quote=True) + xml[e:]
-                data = xml.encode()
+                pieces, at = [], 0
+                for (s, e), text in sorted(changed[name].items()):
+                    pieces += [xml[at:s], escape(text, quote=True)]
+                    at = e
+                data = "".join([*pieces, xml[at:]]).encode()
             data = without_metadata(name, data)
             z.writestr(name, data)
     return buffer.getvalue()
