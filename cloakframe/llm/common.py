@@ -115,6 +115,14 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """A full collection in the driver's JVM and, by a task for every core, in the executors': heaps that earlier work has
+    grown are given back, so that they don't add to what the next stage's Python workers need. Results don't change."""
+    spark._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Columns of equal length as one blob: the length, then column after column."""
     return len(arrays[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)

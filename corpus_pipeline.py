@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next stage's docs. Stages need doc_id, text, lang and source; other columns, whatever their names, are
 kept, and repeated rows are rows of their own unless a stage says otherwise. An empty table gives an empty one.
-Operators drop their scratch tables themselves, but for the small ones that a result still reads.
+Operators drop their scratch tables themselves, but for the small ones that a result still reads. A stage starts with
+collected heaps: executors live through all stages, and a heap stays as large as the stage before has made it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import language, mixing, ngram_join, packing, suffix_dedup
-from cloakframe.llm.common import crc_mod, discard, prepare, scratch_paths, stored
+from cloakframe.llm.common import crc_mod, discard, prepare, scratch_paths, shrink_heaps, stored
 
 #: Documents whose language is less likely than this go, and those without a letter.
 LEAST_SCORE = 0.3
@@ -24,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letter. Null languages are not learned from; where no language can be learned, all
     documents with a letter stay. Equal texts stay or go together.
     """
+    shrink_heaps(spark)
     prepare(spark)
     model = language.learn(docs, crc_mod("doc_id", 4) != 2)
     if model is None:
@@ -40,6 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows are duplicates of each other: one stays. Rows without a word stay.
     """
+    shrink_heaps(spark)
     return ngram_join.representatives(docs)
 
 
@@ -48,11 +51,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The first place keeps a passage: smaller id (nulls last), then smaller text hash, then earlier start. Null texts stay null.
     """
+    shrink_heaps(spark)
     return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as many times as the mix takes it; equal rows alike, a null source is a source of its own."""
+    shrink_heaps(spark)
     return mixing.mixed(docs)
 
 
@@ -60,6 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """A row for each piece of a document with its sequence and offset. A null or empty text is its end id."""
     import public_tokenizers
 
+    shrink_heaps(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
